@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sluice.llm import bpe, token_files, warc
+from sluice.llm import bpe, language_id, license_scan, token_files, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -25,12 +26,23 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_round_trip(spark, _table(spark, sf_dir, "documents"), TOKENIZER).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and template spans of every document."""
+    found = license_scan.scan(_table(spark, sf_dir, "documents"))
+    return found.withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from two thirds of them."""
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
     return bpe.round_trip(_table(spark, sf_dir, "documents"), RANKS)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_token_files, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_token_files, op5_license_scan, op9_language_id, op10_bpe)}
 
 ORACLE_SQL = {
     "op1_warc": """
