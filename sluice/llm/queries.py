@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, language_id, license_scan, token_files, warc
+from sluice.llm import bpe, language_id, license_scan, token_files, toxicity, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -32,6 +32,11 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from four fifths of the labels."""
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from two thirds of them."""
     return language_id.identify(_table(spark, sf_dir, "documents"))
@@ -42,7 +47,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), RANKS)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_token_files, op5_license_scan, op9_language_id, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_token_files, op5_license_scan, op6_toxicity, op9_language_id, op10_bpe)}
 
 ORACLE_SQL = {
     "op1_warc": """
