@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, language_id, license_scan, token_files, toxicity, warc
+from sluice.llm import bpe, language_id, license_scan, minhash_forest, token_files, toxicity, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -37,6 +37,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components over three-word shingles at a similarity of 0.85."""
+    return minhash_forest.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from two thirds of them."""
     return language_id.identify(_table(spark, sf_dir, "documents"))
@@ -47,7 +52,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), RANKS)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_token_files, op5_license_scan, op6_toxicity, op9_language_id, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_token_files, op5_license_scan, op6_toxicity, op8_near_dedup, op9_language_id, op10_bpe)}
 
 ORACLE_SQL = {
     "op1_warc": """
