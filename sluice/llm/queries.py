@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, language_id, license_scan, minhash_forest, token_files, toxicity, warc
+from sluice.llm import bpe, language_id, license_scan, line_dedup, minhash_forest, token_files, toxicity, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -26,6 +26,11 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_round_trip(spark, _table(spark, sf_dir, "documents"), TOKENIZER).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage that an earlier document already holds, with its place in the original text."""
+    return line_dedup.repeated_passages(_table(spark, sf_dir, "documents")).drop("doc_key")
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and template spans of every document."""
     found = license_scan.scan(_table(spark, sf_dir, "documents"))
@@ -52,7 +57,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), RANKS)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_token_files, op5_license_scan, op6_toxicity, op8_near_dedup, op9_language_id, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_token_files, op3_line_dedup, op5_license_scan, op6_toxicity, op8_near_dedup, op9_language_id, op10_bpe)}
 
 ORACLE_SQL = {
     "op1_warc": """
