@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, language_id, license_scan, line_dedup, minhash_forest, token_files, toxicity, warc
+from sluice.llm import bpe, decontam, language_id, license_scan, line_dedup, minhash_forest, syncmers, token_files, toxicity, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -31,6 +31,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.repeated_passages(_table(spark, sf_dir, "documents")).drop("doc_key")
 
 
+def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, of its edited text, and their likenesses."""
+    return syncmers.edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and template spans of every document."""
     found = license_scan.scan(_table(spark, sf_dir, "documents"))
@@ -42,6 +47,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark passages in every document."""
+    return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components over three-word shingles at a similarity of 0.85."""
     return minhash_forest.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -57,7 +67,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), RANKS)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_token_files, op3_line_dedup, op5_license_scan, op6_toxicity, op8_near_dedup, op9_language_id, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_token_files, op3_line_dedup, op4_syncmers, op5_license_scan, op6_toxicity, op7_decontam, op8_near_dedup, op9_language_id, op10_bpe)}
 
 ORACLE_SQL = {
     "op1_warc": """
