@@ -114,6 +114,13 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     return joined.select(F.when(F.col("d") != _NO_ID, F.col("d")).alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def without_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents in which no window of the benchmark stands."""
+    hit = materialise(matched_windows(documents, benchmark, window).select("d", "h").distinct(), "hit")
+    keyed = documents.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "_h": F.xxhash64("text")})
+    return keyed.join(small(hit.withColumnsRenamed({"d": "_d", "h": "_h"})), ["_d", "_h"], "left_anti").select(documents.columns)
+
+
 def proximity_matches(documents: DataFrame, benchmark: DataFrame, slack: int = 5, window: int = WINDOW) -> DataFrame:
     """(doc_id, item_id, start, distance): both probes of a window near their places, but not exactly there.
 

@@ -86,6 +86,12 @@ def repeated_passages(documents: DataFrame, min_words: int = MIN_WORDS) -> DataF
     return passages.where(F.col("n_words") >= min_words).select("doc_id", "doc_key", "start", "end", "n_words", "n_units", F.col("f.first_doc_id").alias("first_doc_id"))
 
 
+def deduplicated(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The documents without repeated passages; those of which nothing is left go."""
+    passages = materialise(repeated_passages(documents, min_words), "passages")
+    return without_passages(documents, passages).where("text is null or text rlike '[^ \\\\t\\\\n\\\\x0B\\\\f\\\\r]'")
+
+
 def without_passages(documents: DataFrame, passages: DataFrame) -> DataFrame:
     """The documents with the passages cut out of `text` (and the white space after each)."""
 

@@ -268,3 +268,19 @@ def near_duplicates(documents: DataFrame, n: int = 3, num: int = 85, den: int =
     own = signed.join(classes.select("digest", "node"), "digest", "left").join(found, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     return own.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(documents: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One document of each near-duplicate component: the one with the smallest doc_id.
+
+    Of rows that share a doc_id one stays; rows without a doc_id all stay.
+    """
+    found = materialise(near_duplicates(documents, n, num, den).select("doc_id", "kept"), "found")
+    dropped = found.where(~F.col("kept")).select("doc_id").distinct()
+    dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped
+    left = documents.join(dropped, documents["doc_id"].cast("long") == dropped["doc_id"], "left_anti")
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if repeated.isEmpty():
+        return left
+    first = left.where("doc_id is not null").dropDuplicates(["doc_id"])
+    return first.unionByName(left.where("doc_id is null"))
