@@ -17,6 +17,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 CHUNK, OVERLAP = 16_384, 512
 
 _PIECE = "doc_id long, key string, copies long, piece int, text string, starts array<int>, tail array<int>"
-_IDS = "doc_id long, key string, copies long, run int, n long, ids string, decoded binary"
+_IDS = "doc_id long, key string, copies long, run int, ids binary"
 _RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 _codings: dict = {}
@@ -99,24 +100,26 @@ def _pretokenise(ranks_path: str, chunk: int, overlap: int):
 def _encode_runs(ranks_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [encode(text.as_py(), ranks_path) for text in batch.column(4)]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(4)), pa.array([len(x) for x in found], pa.int64()), pa.array([" ".join(map(str, x)) for x in found], pa.string()), pa.array([decode(x, ranks_path) for x in found], pa.binary())],
-                names=["doc_id", "key", "copies", "run", "n", "ids", "decoded"],
-            )
+            ids = [np.array(encode(text.as_py(), ranks_path), "<u4").tobytes() for text in batch.column(4)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(ids, pa.binary())], names=["doc_id", "key", "copies", "run", "ids"])
 
     return run
 
 
-def _together(group: pd.DataFrame) -> pd.DataFrame:
+def _together(ranks_path: str):
     """The pieces of one document in order: ids one after another, decoded bytes concatenated."""
-    group = group.sort_values("run")
-    ids, plain = hashlib.sha256(), hashlib.sha256()
-    for i, (text, data) in enumerate(zip(group["ids"], group["decoded"], strict=True)):
-        ids.update((" " * (i > 0) + text).encode())
-        plain.update(data)
-    copies = int(group["copies"].iloc[0])
-    return pd.DataFrame({"doc_id": [group["doc_id"].iloc[0]] * copies, "n_tokens": int(group["n"].sum()), "ids_sha256": ids.hexdigest(), "decoded_sha256": plain.hexdigest()}).astype({"doc_id": "Int64"})
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        ids, plain, n = hashlib.sha256(), hashlib.sha256(), 0
+        for data in group.sort_values("run")["ids"]:
+            piece = np.frombuffer(data, "<u4").tolist()
+            ids.update((" " * (n > 0) + " ".join(map(str, piece))).encode())
+            plain.update(decode(piece, ranks_path))
+            n += len(piece)
+        copies = int(group["copies"].iloc[0])
+        return pd.DataFrame({"doc_id": [group["doc_id"].iloc[0]] * copies, "n_tokens": n, "ids_sha256": ids.hexdigest(), "decoded_sha256": plain.hexdigest()}).astype({"doc_id": "Int64"})
+
+    return run
 
 
 def stitched_runs(long_texts: DataFrame, ranks_path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -144,4 +147,4 @@ def round_trip(documents: DataFrame, ranks_path: str, chunk: int = CHUNK, overla
     long_texts = rows.where(F.length("text") > chunk).withColumn("key", F.sha2("text", 256)).groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"))
     runs = stitched_runs(long_texts, ranks_path, chunk, overlap)
     ids = runs.repartition("key", "run").mapInArrow(_encode_runs(ranks_path), _IDS)
-    return short.unionByName(ids.groupBy("doc_id", "key").applyInPandas(_together, _RESULT))
+    return short.unionByName(ids.groupBy("doc_id", "key").applyInPandas(_together(ranks_path), _RESULT))
