@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 WORD_CLASS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+#: Rows and bytes of one Arrow batch between the JVM and a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
@@ -32,6 +36,16 @@ def shared_folder(spark: SparkSession) -> str:
     return base
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Send at most BATCH_ROWS rows, and about BATCH_BYTES, to a Python worker at once.
+
+    Spark's default of 10,000 rows is tens of megabytes of text, held several times over by the JVM and
+    the worker.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing uses yet."""
     return f"{shared_folder(spark)}/sluice-{name}-{uuid.uuid4().hex}"

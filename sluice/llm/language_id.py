@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm._shared import bound_batches
+
 #: Hash buckets, centroids a language, most texts sampled for a language and most languages (the most frequent).
 BUCKETS, CENTROIDS, SAMPLE, LANGUAGES = 4096, 4, 600, 64
 #: Rejected: cosine below this share of the centroid's 1st percentile, scaled by length.
@@ -94,6 +96,7 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
     Each language gives about `sample` distinct texts, chosen by a hash of the text. Their trigrams are
     counted on the executors; the driver gets LANGUAGES * sample vectors of BUCKETS floats at most.
     """
+    bound_batches(rows.sparkSession)
     rows = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text")).where("lang is not null and text is not null")
     rows = rows.where(F.col("text").rlike(r"\p{L}"))
     sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()

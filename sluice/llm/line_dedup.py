@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm._shared import materialise
+from sluice.llm._shared import bound_batches, materialise
 
 #: Words of a passage, at least.
 MIN_WORDS = 20
@@ -73,6 +73,7 @@ def repeated_passages(documents: DataFrame, min_words: int = MIN_WORDS) -> DataF
     start and end are offsets in code points; first_doc_id holds the passage's first unit. doc_key is the
     hash of the whole text that tells apart rows with one doc_id.
     """
+    bound_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("doc_key"), "text").where("text is not null")
     found = materialise(rows.mapInArrow(_split, _UNITS), "units")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "doc_key", "pos")

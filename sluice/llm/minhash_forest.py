@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm._shared import materialise
+from sluice.llm._shared import bound_batches, materialise
 from sluice.llm.components import components
 
 #: Trees, values of a tree's key, least shared prefix, rows of a region that is cut deeper.
@@ -256,6 +256,7 @@ def near_duplicates(documents: DataFrame, n: int = 3, num: int = 85, den: int =
 
     Linked are documents with den * |intersection| >= num * |union| of their n-word shingle sets.
     """
+    bound_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     signed = materialise(rows.mapInArrow(_sign(n), _SIGNED), "signed")
     usable = signed.where("digest is not null and doc_id is not null")

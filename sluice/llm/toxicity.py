@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm._shared import bound_batches
+
 from sluice.llm.license_scan import words_of
 
 #: Weight of the prior, least texts of a feature, least likelihood ratio (twice the logarithm), most features kept.
@@ -252,6 +254,7 @@ def _score(model_cast):
 
 def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Learn from labelled documents not held out, score all: doc_id, held_out, score, predicted, n_passages."""
+    bound_batches(documents.sparkSession)
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5, F.lit(1))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").withColumn("fold", fold).where("fold != 0")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm._shared import Commit, file_system, materialise, new_folder, shard_bounds, shard_of
+from sluice.llm._shared import Commit, bound_batches, file_system, materialise, new_folder, shard_bounds, shard_of
 
 #: Payload bytes per shard and compressed bytes per file.
 SHARD_BYTES, ROLL_BYTES = 32 << 20, 8 << 20
@@ -118,6 +118,7 @@ def write_archives(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES
     for the payloads, which are shuffled only once. Revisit marks travel as rows of their own, sorted
     just before the row they concern, so the payload side needs no join.
     """
+    bound_batches(pages.sparkSession)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     full = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), payload.alias("payload"))
     full = full.withColumn("digest", F.sha2("payload", 256))
