@@ -88,15 +88,22 @@ def matched_windows(documents: DataFrame, benchmark: DataFrame, window: int = WI
     """(d, h, item_id, first, size): every place where a window of an item stands in a document."""
     items, probed = probes(documents, benchmark, window)
     places = materialise(alignments(probed, postings(documents, probed)), "places")
-    hit = places.select("d", "h").distinct()
-    texts = _keyed(documents).join(small(hit), ["d", "h"]).dropDuplicates(["d", "h"]).select("d", "h", words(F.col("text")).alias("dw"))
+    # each text is joined once, with the list of its places; what leaves it are slices as long as an item
+    sized = places.join(small(items.select("item", F.size("iw").alias("size"))), "item")
+    lists = materialise(sized.groupBy("d", "h").agg(F.collect_list(F.struct("item", "start", "size")).alias("x")), "lists")
+    texts = _keyed(documents).join(small(lists.select("d", "h")), ["d", "h"], "left_semi").dropDuplicates(["d", "h"])
+    texts = texts.join(lists, ["d", "h"]).select("d", "h", "x", words(F.col("text")).alias("dw"))
+
+    def part(p: Column) -> Column:
+        """The document's words where the item's lie, from the item's word `skip` on."""
+        skip = F.greatest(-p["start"], F.lit(0))
+        n = F.greatest(F.least(p["size"] - skip, F.size("dw") - p["start"] - skip), F.lit(0))
+        return F.struct(p["item"].alias("item"), skip.alias("skip"), (p["start"] + skip).alias("at"), F.slice("dw", p["start"] + skip + 1, n).alias("there"))
+
+    aligned = texts.select("d", "h", F.explode(F.transform("x", part)).alias("p")).select("d", "h", "p.*").join(small(items), "item")
     size = F.least(F.size("iw"), F.lit(window))
-    # the part of the item that lies inside the document, and the document's words there
-    skip = F.greatest(-F.col("start"), F.lit(0))
-    n = F.least(F.size("iw") - skip, F.size("dw") - F.col("start") - skip)
-    aligned = places.join(texts, ["d", "h"]).join(small(items), "item")
-    same = F.zip_with(F.slice("iw", skip + 1, n), F.slice("dw", F.col("start") + skip + 1, n), lambda a, b: a == b)
-    checked = aligned.where(n >= size).select("d", "h", "item_id", (F.col("start") + skip).alias("at"), size.alias("size"), same.alias("same"))
+    same = F.zip_with(F.slice("iw", F.col("skip") + 1, F.size("there")), F.col("there"), lambda a, b: a == b)
+    checked = aligned.where(F.size("there") >= size).select("d", "h", "item_id", "at", size.alias("size"), same.alias("same"))
     starts = F.filter(F.sequence(F.lit(0), F.size("same") - F.col("size")), lambda s: F.forall(F.slice("same", s + 1, F.col("size")), lambda x: x))
     return checked.select("d", "h", "item_id", F.explode(F.transform(starts, lambda s: s + F.col("at"))).alias("first"), "size")
 
