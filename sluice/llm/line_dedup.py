@@ -30,6 +30,9 @@ from sluice.llm._shared import bound_batches, materialise
 
 #: Words of a passage, at least.
 MIN_WORDS = 20
+#: Documents with passages up to this number are sent to every executor instead of shuffling all texts.
+BROADCAST_ROWS = 500_000
+_LAST = (1 << 63) - 1
 
 _BREAK = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 _UNITS = "doc_id long, doc_key long, pos int, start int, end int, words int, h1 long, h2 long"
@@ -76,9 +79,11 @@ def repeated_passages(documents: DataFrame, min_words: int = MIN_WORDS) -> DataF
     bound_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("doc_key"), "text").where("text is not null")
     found = materialise(rows.mapInArrow(_split, _UNITS), "units")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "doc_key", "pos")
-    first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h1", "h2", "first")
-    later = found.withColumn("place", place).join(first, ["h1", "h2"]).where("place != first").select("doc_id", "doc_key", "pos", "start", "end", "words", F.col("first.doc_id").alias("first_doc_id")).distinct()
+    if not found.where("pos = 0").groupBy("doc_id", "doc_key").count().where("count > 1").isEmpty():
+        found = found.dropDuplicates(["doc_id", "doc_key", "pos"])  # equal rows are one document
+    place = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "doc_key", "pos")
+    first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first")
+    later = found.join(first, ["h1", "h2"]).where(place != F.col("first")).select("doc_id", "doc_key", "pos", "start", "end", "words", F.nullif("first.doc", F.lit(_LAST)).alias("first_doc_id"))
     order = Window.partitionBy("doc_id", "doc_key").orderBy("pos")
     runs = later.withColumn("run", F.col("pos") - F.row_number().over(order))
     passages = runs.groupBy("doc_id", "doc_key", "run").agg(
@@ -112,6 +117,7 @@ def without_passages(documents: DataFrame, passages: DataFrame) -> DataFrame:
         return pd.Series(out)
 
     spans = passages.groupBy(F.col("doc_id").alias("_id"), F.col("doc_key").alias("_key")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    spans = F.broadcast(spans) if spans.count() <= BROADCAST_ROWS else spans
     keyed = documents.withColumn("_hash", F.xxhash64("text"))
     joined = keyed.join(spans, keyed["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_key")), "left")
     return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut(F.col("text"), F.col("_spans")))).select(documents.columns)
