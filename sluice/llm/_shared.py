@@ -51,6 +51,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/sluice-{name}-{uuid.uuid4().hex}"
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each led by as many underscores as it takes to be no column of `df`."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once as Parquet in the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm._shared import materialise
+from sluice.llm._shared import materialise, unused
 
 #: Words of a window; rows of a benchmark-side table that is broadcast.
 WINDOW, BROADCAST_ROWS = 10, 1_000_000
@@ -124,8 +124,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 def without_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents in which no window of the benchmark stands."""
     hit = materialise(matched_windows(documents, benchmark, window).select("d", "h").distinct(), "hit")
-    keyed = documents.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "_h": F.xxhash64("text")})
-    return keyed.join(small(hit.withColumnsRenamed({"d": "_d", "h": "_h"})), ["_d", "_h"], "left_anti").select(documents.columns)
+    d, h = unused(documents, "_d", "_h")
+    keyed = documents.withColumns({d: F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), h: F.xxhash64("text")})
+    return keyed.join(small(hit.withColumnsRenamed({"d": d, "h": h})), [d, h], "left_anti").select(documents.columns)
 
 
 def proximity_matches(documents: DataFrame, benchmark: DataFrame, slack: int = 5, window: int = WINDOW) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm._shared import bound_batches, materialise
+from sluice.llm._shared import bound_batches, materialise, unused
 
 #: Words of a passage, at least.
 MIN_WORDS = 20
@@ -116,8 +116,8 @@ def without_passages(documents: DataFrame, passages: DataFrame) -> DataFrame:
             out.append(text)
         return pd.Series(out)
 
-    spans = passages.groupBy(F.col("doc_id").alias("_id"), F.col("doc_key").alias("_key")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    spans = F.broadcast(spans) if spans.count() <= BROADCAST_ROWS else spans
-    keyed = documents.withColumn("_hash", F.xxhash64("text"))
-    joined = keyed.join(spans, keyed["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_key")), "left")
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut(F.col("text"), F.col("_spans")))).select(documents.columns)
+    doc, key, hashed, spans = unused(documents, "_id", "_key", "_hash", "_spans")
+    found = passages.groupBy(F.col("doc_id").alias(doc), F.col("doc_key").alias(key)).agg(F.collect_list(F.struct("start", "end")).alias(spans))
+    found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+    joined = documents.withColumn(hashed, F.xxhash64("text")).join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(hashed) == F.col(key)), "left")
+    return joined.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(cut(F.col("text"), F.col(spans)))).select(documents.columns)
