@@ -39,6 +39,8 @@ DRIFT, CLIP, CALIBRATION = 0.5, 9.0, 20_000
 STEMS = (4, 5, 6, 7, 8)
 #: Labels up to this count are sent to every executor instead of shuffling the texts.
 BROADCAST_LABELS = 1_000_000
+#: Clean texts whose words set the scale, and their most bytes; the driver holds them.
+SCALE_TEXTS, SCALE_BYTES = 500, 20_000
 _FLUSH, _MEMO = 200_000, 200_000
 
 
@@ -204,7 +206,7 @@ def fit(train: DataFrame, calibrate: DataFrame) -> Model:
     model = Model(_log_odds(train, sizes[0], sizes[1]))
     n = calibrate.count()
     some = calibrate.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, CALIBRATION / max(n, 1))))
-    model.scale = _scale(model, [bytes(r["text"]) for r in some.where("toxic = 0 and length(text) < 20000").limit(500).select("text").collect()])
+    model.scale = _scale(model, [bytes(r["text"]) for r in some.where((F.col("toxic") == 0) & (F.length("text") < SCALE_BYTES)).orderBy(F.xxhash64("text")).limit(SCALE_TEXTS).select("text").collect()])
     rows = some.select("text", F.col("toxic")).mapInArrow(_evidence(spark.sparkContext.broadcast(model)), "x double, y int").limit(2 * CALIBRATION).collect()
     x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], float)
     if not len(x) or y.min() == y.max():
