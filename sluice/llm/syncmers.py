@@ -104,12 +104,15 @@ def edited_fingerprints(documents: DataFrame) -> DataFrame:
     pairs = materialise(_with_next(slim), "pairs")
     if not pairs.where("copies > 1").isEmpty():
         rows = rows.dropDuplicates(["d", "h"])
-    following = rows.select(F.col("d").alias("nd"), F.col("h").alias("nh"), F.col("text").alias("next"))
+    # both sides rename every column in one order, so that Spark finds their exchanges equal and runs one
+    following = rows.select(F.col("d").alias("nd"), F.col("text").alias("next"), F.col("h").alias("nh"))
+    own = rows.select(F.col("d").alias("od"), F.col("text").alias("own"), F.col("h").alias("oh"))
     third = F.floor(F.col("n") / 3).cast("int")
     prefix = pairs.join(following, ["nd", "nh"]).select("d", "h", "n", "copies", "nd", "nh", third.alias("third"), F.col("next").substr(F.lit(1), third).alias("prefix"))
-    both = rows.join(prefix, ["d", "h"]).withColumn("edited", F.concat(F.col("text").substr(F.lit(1), (F.col("n") - F.col("third")).cast("int")), F.col("prefix")))
-    both = both.select("d", "h", "n", "copies", "nd", "nh", "text", "edited")
-    for text, to in (("text", "a"), ("edited", "b")):
+    both = own.join(prefix, (F.col("od") == F.col("d")) & (F.col("oh") == F.col("h")))
+    both = both.withColumn("edited", F.concat(F.col("own").substr(F.lit(1), (F.col("n") - F.col("third")).cast("int")), F.col("prefix")))
+    both = both.select("d", "h", "n", "copies", "nd", "nh", "own", "edited")
+    for text, to in (("own", "a"), ("edited", "b")):
         both = with_anchors(both, text, to)
     made = materialise(both.select("d", "h", "n", "copies", "nd", "nh", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("a")).alias("a"), sketch(F.col("b")).alias("b")), "fingerprints")
     other = made.select(F.col("d").alias("nd"), F.col("h").alias("nh"), F.col("a").alias("c"))
