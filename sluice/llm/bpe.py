@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.llm._shared import bound_batches
+
 CHUNK, OVERLAP = 16_384, 512
 
 _PIECE = "doc_id long, key string, copies long, piece int, text string, starts array<int>, tail array<int>"
@@ -71,12 +73,12 @@ def _whole(ranks_path: str):
 
 def _cut(chunk: int, overlap: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["doc_id", "key", "copies", "piece", "text"]
+        columns = ["doc_id", "key", "piece", "text"]
         for frame in frames:
             rows = []
-            for doc_id, key, copies, text in frame.itertuples(index=False):
+            for doc_id, key, text in frame.itertuples(index=False):
                 for i, at in enumerate(range(0, len(text), chunk)):
-                    rows.append((doc_id, key, copies, i, text[at : at + chunk + overlap]))
+                    rows.append((doc_id, key, i, text[at : at + chunk + overlap]))
                     if len(rows) == 256:
                         yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
                         rows = []
@@ -123,10 +125,13 @@ def _together(ranks_path: str):
 
 
 def stitched_runs(long_texts: DataFrame, ranks_path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(doc_id, key, copies, run, text): the pieces between agreed boundaries of (doc_id, key, copies, text)."""
-    plain = "doc_id long, key string, copies long, piece int, text string"
-    chunks = long_texts.mapInPandas(_cut(chunk, overlap), plain).repartition("key", "piece")
-    cut = chunks.mapInPandas(_pretokenise(ranks_path, chunk, overlap), _PIECE)
+    """(doc_id, key, copies, run, text): the pieces between agreed boundaries of (doc_id, key, text).
+
+    Chunks are dealt out by the aggregate that counts rows equal in doc_id and text.
+    """
+    plain = "doc_id long, key string, piece int, text string"
+    chunks = long_texts.mapInPandas(_cut(chunk, overlap), plain).groupBy("doc_id", "key", "piece").agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"))
+    cut = chunks.select("doc_id", "key", "copies", "piece", "text").mapInPandas(_pretokenise(ranks_path, chunk, overlap), _PIECE)
     order = Window.partitionBy("doc_id", "key").orderBy("piece")
     # where this chunk starts and ends, from its own start; null: no boundary that both sides found
     begin = F.when(F.col("piece") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect("starts", F.lag("tail").over(order))))
@@ -142,9 +147,10 @@ def stitched_runs(long_texts: DataFrame, ranks_path: str, chunk: int = CHUNK, ov
 
 def round_trip(documents: DataFrame, ranks_path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """Encode documents(doc_id, text), decode the ids again, return counts and digests of both."""
+    bound_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     short = rows.where(F.length("text") <= chunk).mapInArrow(_whole(ranks_path), _RESULT)
-    long_texts = rows.where(F.length("text") > chunk).withColumn("key", F.sha2("text", 256)).groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"))
+    long_texts = rows.where(F.length("text") > chunk).select("doc_id", F.sha2("text", 256).alias("key"), "text")
     runs = stitched_runs(long_texts, ranks_path, chunk, overlap)
     ids = runs.repartition("key", "run").mapInArrow(_encode_runs(ranks_path), _IDS)
     return short.unionByName(ids.groupBy("doc_id", "key").applyInPandas(_together(ranks_path), _RESULT))
