@@ -1,9 +1,9 @@
 """Token ids in Arrow stream files of equal-length sequences.
 
-A shard is one stream of record batches with two fixed-size-list columns, `tokens` and `mask` (1 where
-a token stands, 0 on the padding after a shard's last token), and a second stream that says where each
-document starts. Mapped into memory, sequence i is a view into batch i // rows_per_batch: nothing is
-copied. Documents follow one another in ascending doc_id order across shards.
+A shard is one stream of record batches with two fixed-size-list columns, `tokens` and `mask` (one bit
+a token: set where one stands, clear on the padding after a shard's last token), and a second stream that
+says where each document starts. Mapped into memory, sequence i is a view into batch
+i // rows_per_batch, and so are the bits of its mask: nothing is copied. Documents follow one another in ascending doc_id order across shards.
 
 Defined cases: a null text is an empty text and yields the end id alone; rows without a doc_id come
 last; repeated rows are written each time, in the order of their texts; an empty table gives no files;
@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm._shared import Commit, file_system, materialise, new_folder, shard_bounds, shard_of
+from sluice.llm._shared import Commit, bound_batches, file_system, materialise, new_folder, shard_bounds, shard_of
 
-SEQUENCE, ROWS_PER_BATCH, SHARD_CHARS, END_ID = 2048, 64, 16 << 20, 0
+SEQUENCE, ROWS_PER_BATCH, SHARD_CHARS, END_ID = 2048, 64, 16 << 20, 0  # a sequence is a multiple of 8
 #: Bounds of the two memos of an executor's Python worker.
 MOST_PRETOKENS, MOST_PIECES = 600_000, 250_000
 
@@ -94,7 +94,7 @@ class ShardWriter:
     def __init__(self, commit: Commit, shard: int, dtype: str, sequence: int, rows: int):
         self.commit, self.shard, self.dtype, self.length, self.rows = commit, shard, np.dtype(dtype), sequence, rows
         self.names = f"shard-{shard:06d}.tokens.arrow", f"shard-{shard:06d}.docs.arrow"
-        self.schema = pa.schema([("tokens", pa.list_(pa.from_numpy_dtype(self.dtype), sequence)), ("mask", pa.list_(pa.uint8(), sequence))], {"sequence": str(sequence), "rows_per_batch": str(rows)})
+        self.schema = pa.schema([("tokens", pa.list_(pa.from_numpy_dtype(self.dtype), sequence)), ("mask", pa.list_(pa.bool_(), sequence))], {"sequence": str(sequence), "rows_per_batch": str(rows)})
         self.docs_schema = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64())])
         (self.temporary, self.out), (self.docs_temporary, self.docs_out) = commit.open(self.names[0]), commit.open(self.names[1])
         self.stream, self.docs_stream = pa.ipc.new_stream(self.out, self.schema), pa.ipc.new_stream(self.docs_out, self.docs_schema)
@@ -102,9 +102,8 @@ class ShardWriter:
 
     def _batch(self, data: bytes, n_valid: int) -> None:
         tokens = np.frombuffer(data, self.dtype)
-        mask = np.zeros(len(tokens), np.uint8)
-        mask[:n_valid] = 1
-        arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (tokens, mask)]
+        mask = pa.array(np.arange(len(tokens)) < n_valid)
+        arrays = [pa.FixedSizeListArray.from_arrays(x, self.length) for x in (pa.array(tokens), mask)]
         self.stream.write_batch(pa.RecordBatch.from_arrays(arrays, schema=self.schema))
         self.sequences += len(tokens) // self.length
 
@@ -163,6 +162,7 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer: str, end_id:
     Shard bounds follow from text lengths in doc_id order. Texts are shuffled once, sorted inside each
     task, and encoded while they are written. dtype must hold every id of the vocabulary.
     """
+    bound_batches(documents.sparkSession)
     text = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     slim = materialise(text.select("doc_id", (F.octet_length("text") + 1).cast("long").alias("weight")), "token-slim")
     bounds = shard_bounds(slim, "doc_id", "weight", shard_chars, "token-order")
@@ -184,18 +184,21 @@ class TokenShard:
         self.batches = list(pa.ipc.open_stream(self.source)) if fs.type_name == "local" else None
         self._stream = None if self.batches is not None else pa.ipc.open_stream(self.source)
 
-    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Tokens and masks of each batch, flat."""
+    def __iter__(self) -> Iterator[tuple[np.ndarray, int]]:
+        """The tokens of each batch, flat, and how many of them the mask holds."""
         for batch in self.batches if self.batches is not None else self._stream:
-            yield tuple(batch.column(i).flatten().to_numpy(zero_copy_only=True) for i in (0, 1))
+            tokens, mask = (batch.column(i).flatten() for i in (0, 1))
+            yield tokens.to_numpy(zero_copy_only=True), mask.true_count
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens and mask of sequence i, without copying."""
+        """Tokens of sequence i and the bytes that hold its mask's bits (lowest first), without copying."""
         rows = self.batches[0].num_rows
         batch = self.batches[i // rows]
         length = batch.column(0).type.list_size
         at = (i % rows) * length
-        return tuple(batch.column(k).flatten().to_numpy(zero_copy_only=True)[at : at + length] for k in (0, 1))
+        bits = batch.column(1).flatten()
+        mask = np.frombuffer(bits.buffers()[1], np.uint8)
+        return batch.column(0).flatten().to_numpy(zero_copy_only=True)[at : at + length], mask[(bits.offset + at) // 8 : (bits.offset + at + length + 7) // 8]
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,8 +212,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         crc, need = 0, n
                         while need:
                             if not len(have):
-                                tokens, mask = next(parts)
-                                have = tokens[: int(mask.sum())]
+                                tokens, there = next(parts)
+                                have = tokens[:there]
                             take = have[:need]
                             crc, need, have = zlib.crc32(take.astype("<u4").tobytes(), crc), need - len(take), have[len(take) :]
                         out.append((doc_id, row["start"] + first, n, crc, row["shard"]))
