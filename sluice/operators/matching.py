@@ -11,6 +11,8 @@ from sluice.functions.expressions import dot, norm
 
 #: Rows of a kept side that is sent to every executor as one matrix.
 KEPT_ROWS = 200_000
+#: Similarities that a block holds at once.
+BLOCK_CELLS = 4_000_000
 
 
 def similarities(dropped: DataFrame, kept: DataFrame, vector: str = "vec", eps: float = 1e-12) -> DataFrame:
@@ -61,6 +63,15 @@ def local_matches(dropped: DataFrame, kept: DataFrame, host: DataFrame, least: f
     return best.select("layer", "dropped", "neuron", "host", (-F.col("m.n")).alias("host_neuron"), F.col("m.sim").alias("sim"), (F.col("m.sim") >= least).alias("hosted"))
 
 
+def _first(row: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest values, the largest first, ties to the smaller place; without sorting the rest."""
+    if len(row) <= k:
+        return np.argsort(-row, kind="stable")
+    least = np.partition(row, len(row) - k)[len(row) - k]
+    some = np.flatnonzero(row >= least)
+    return some[np.argsort(-row[some], kind="stable")][:k]
+
+
 def top_candidates(dropped: DataFrame, kept: DataFrame, k: int) -> DataFrame:
     """(row, slot, col, sim): the k most similar kept rows of each dropped row, by blocks of a matrix product.
 
@@ -73,14 +84,15 @@ def top_candidates(dropped: DataFrame, kept: DataFrame, k: int) -> DataFrame:
     rows = kept.orderBy("col").collect()
     ids, matrix = np.array([r["col"] for r in rows], np.int64), np.array([r["vec"] for r in rows], np.float64)
     shared = dropped.sparkSession.sparkContext.broadcast((ids, matrix))
+    step = max(1, min(1024, BLOCK_CELLS // max(1, n)))
 
     def block(frames):
         ids, matrix = shared.value
         for frame in frames:
-            for at in range(0, len(frame), 1024):
-                part = frame.iloc[at : at + 1024]
+            for at in range(0, len(frame), step):
+                part = frame.iloc[at : at + step]
                 sims = np.array(part["vec"].tolist(), np.float64) @ matrix.T
-                order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+                order = np.array([_first(row, k) for row in sims])
                 yield pd.DataFrame({"row": np.repeat(part["row"].to_numpy(), order.shape[1]), "slot": np.tile(np.arange(order.shape[1]), len(part)), "col": ids[order].ravel(), "sim": np.take_along_axis(sims, order, 1).ravel()})
 
     return dropped.select("row", "vec").mapInPandas(block, "row long, slot int, col long, sim double")

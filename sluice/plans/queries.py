@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,12 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def also_whole(f: Query) -> Query:
+    """Register `f` a second time, as its name with `_all`, over what its SQL leaves out; it has no SQL."""
+    QUERIES[f"{f.__name__}_all"] = functools.partial(f, whole=True)
+    return f
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -444,15 +451,16 @@ SIMS = f"""
 """
 
 
-def experts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The first 200 embeddings as experts of their label's layer: odd ids dropped, even ids kept."""
-    rows = table(spark, sf_dir, "embeddings").where("vec_id < 200").select(F.col("label").alias("layer"), F.col("vec_id").alias("expert"), F.col("embedding").alias("vec"))
+def experts(spark: SparkSession, sf_dir: str, whole: bool) -> tuple[DataFrame, DataFrame]:
+    """Embeddings, all or those that the SQL reads, as experts of their label's layer: odd ids dropped, even ids kept."""
+    rows = table(spark, sf_dir, "embeddings").where(F.lit(True) if whole else F.col("vec_id") < 200).select(F.col("label").alias("layer"), F.col("vec_id").alias("expert"), F.col("embedding").alias("vec"))
     return rows.where("expert % 2 = 1"), rows.where("expert % 2 = 0")
 
 
+@also_whole
 @query(SIMS + "SELECT layer, dropped, kept, round(sim, 6) AS sim, round(exp((sim - max(sim) OVER w) / 0.1) / sum(exp(sim / 0.1)) OVER w * exp(max(sim) OVER w / 0.1), 6) AS w FROM s WINDOW w AS (PARTITION BY layer, dropped)")
-def merge_cosine_weights(spark, sf_dir):
-    sims = matching.softmax_weights(matching.similarities(*experts(spark, sf_dir)), 0.1)
+def merge_cosine_weights(spark, sf_dir, whole=False):
+    sims = matching.softmax_weights(matching.similarities(*experts(spark, sf_dir, whole)), 0.1)
     return sims.select("layer", "dropped", "kept", F.round("sim", 6).alias("sim"), F.round("w", 6).alias("w"))
 
 
@@ -462,9 +470,9 @@ def merge_alpha_scale(spark, sf_dir):
     return matching.alpha_scale(usage, usage.where("expert % 3 = 0").select("layer", "expert")).withColumn("scale", F.round("scale", 6))
 
 
-def neurons(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def neurons(spark: SparkSession, sf_dir: str, whole: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Each expert's vector as four unit neurons of 16 elements; hosts by whole-expert similarity."""
-    dropped, kept = experts(spark, sf_dir)
+    dropped, kept = experts(spark, sf_dir, whole)
 
     def unit(i):
         part = F.slice("vec", F.lit(1 + 16 * i), F.lit(16))
@@ -482,27 +490,30 @@ MATCHES = SIMS + """, h AS (SELECT layer, dropped, max_by(kept, (sim, -kept)) AS
 """
 
 
+@also_whole
 @query(MATCHES + "SELECT layer, dropped, neuron, host, host_neuron, round(sim, 6) AS sim, hosted FROM b")
-def merge_local_match(spark, sf_dir):
-    return matching.local_matches(*neurons(spark, sf_dir), 0.2).withColumn("sim", F.round("sim", 6))
+def merge_local_match(spark, sf_dir, whole=False):
+    return matching.local_matches(*neurons(spark, sf_dir, whole), 0.2).withColumn("sim", F.round("sim", 6))
 
 
+@also_whole
 @query(MATCHES + """SELECT n.layer, CAST(least(coalesce(g.guests, 0), 4) AS INTEGER) AS load, count(*) AS n FROM n LEFT JOIN (SELECT layer, host, host_neuron, count(*) AS guests FROM b WHERE hosted GROUP BY 1, 2, 3) g
     ON g.layer = n.layer AND g.host = n.expert AND g.host_neuron = n.neuron WHERE n.expert % 2 = 0 GROUP BY 1, 2""")
-def merge_host_load_histogram(spark, sf_dir):
-    dropped, kept, host = neurons(spark, sf_dir)
+def merge_host_load_histogram(spark, sf_dir, whole=False):
+    dropped, kept, host = neurons(spark, sf_dir, whole)
     places = kept.select("layer", F.col("expert").alias("host"), F.col("neuron").alias("host_neuron"))
     return matching.load_histogram(matching.local_matches(dropped, kept, host, 0.2), places)
 
 
+@also_whole
 @query(MATCHES + "SELECT layer, count(*) AS total, count(*) FILTER (hosted) AS hosted, count(*) FILTER (NOT hosted) AS below, round(coalesce(avg(sim) FILTER (hosted), 0), 6) AS sim_mean, round(coalesce(quantile_cont(sim, 0.1) FILTER (hosted), 0), 6) AS sim_p10, round(coalesce(quantile_cont(sim, 0.9) FILTER (hosted), 0), 6) AS sim_p90 FROM b GROUP BY layer")
-def merge_stats(spark, sf_dir):
-    stats = matching.match_stats(matching.local_matches(*neurons(spark, sf_dir), 0.2))
+def merge_stats(spark, sf_dir, whole=False):
+    stats = matching.match_stats(matching.local_matches(*neurons(spark, sf_dir, whole), 0.2))
     return stats.withColumns({c: F.round(c, 6) for c in ("sim_mean", "sim_p10", "sim_p90")})
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dropped, kept, _ = neurons(spark, sf_dir)
+    dropped, kept, _ = neurons(spark, sf_dir, True)
     d = dropped.select((F.col("expert") * 4 + F.col("neuron")).alias("row"), "vec")
     k = kept.select((F.col("expert") * 4 + F.col("neuron")).alias("col"), "vec")
     return matching.top_candidates(d, k, 8).withColumn("layer", F.lit(0))
@@ -518,12 +529,13 @@ def merge_block_match(spark, sf_dir):
     return matching.block_matching(candidates(spark, sf_dir), "layer", 128)
 
 
+@also_whole
 @query(SIMS + """, z AS (SELECT *, exp(sim / 0.1) / sum(exp(sim / 0.1)) OVER (PARTITION BY layer, dropped) AS w FROM s),
     e AS (SELECT layer, expert, CAST(i - 1 AS INTEGER) AS i, v[i] AS y FROM x, unnest(range(1, 65)) u(i))
     SELECT k.layer, k.expert AS kept, k.i, round(k.y + 0.5 * coalesce(sum(z.w * d.y), 0), 6) AS value FROM e k LEFT JOIN z ON z.layer = k.layer AND z.kept = k.expert LEFT JOIN e d ON d.layer = z.layer AND d.expert = z.dropped AND d.i = k.i
     WHERE k.expert % 2 = 0 GROUP BY k.layer, k.expert, k.i, k.y""")
-def merge_weighted_sum(spark, sf_dir):
-    dropped, kept = experts(spark, sf_dir)
+def merge_weighted_sum(spark, sf_dir, whole=False):
+    dropped, kept = experts(spark, sf_dir, whole)
     weights = matching.softmax_weights(matching.similarities(dropped, kept), 0.1)
     flat = lambda d: d.select("layer", "expert", F.posexplode("vec").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
     return matching.weighted_sums(flat(kept), flat(dropped), weights, 0.5).withColumn("value", F.round("value", 6))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions import expressions as x
 from sluice.operators import activations, matching, metrics, routing, samples, tensors
+from sluice.plans import queries as library
 from sluice.sources import files, sinks
 
 
@@ -177,3 +178,48 @@ def test_sinks(spark, tmp_path):
     assert sinks.markdown(rows.select("id", "v"), "id").first().text == "| id | v |\n|---|---|\n| a | 1 |"
     images = spark.createDataFrame([(b"x",), (b"x",), (None,)], "image binary")
     assert sinks.unique_images(images).count() == 1
+
+
+def test_merge_queries_read_every_embedding(spark):
+    data = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{data}/embeddings.parquet").collect()
+    unit = {r.vec_id: np.array(r.embedding, float) / np.linalg.norm(np.array(r.embedding, float)) for r in rows}
+    label = {r.vec_id: r.label for r in rows}
+    want = {}
+    for d in (i for i in unit if i % 2 == 1):
+        kept = [k for k in unit if k % 2 == 0 and label[k] == label[d]]
+        sims = np.array([unit[d] @ unit[k] for k in kept])
+        raised = np.exp((sims - sims.max()) / 0.1)
+        want |= {(d, k): (s, w) for k, s, w in zip(kept, sims, raised / raised.sum(), strict=True)}
+    got = {(r.dropped, r.kept): (r.sim, r.w) for r in library.QUERIES["merge_cosine_weights_all"](spark, data).collect()}
+    assert got.keys() == want.keys() and max(i for i, _ in got) > 200
+    assert all(np.allclose(got[i], want[i], atol=2e-6) for i in want)
+
+    neurons = 4 * sum(i % 2 for i in unit)
+    matches = library.QUERIES["merge_local_match_all"](spark, data).collect()
+    assert len(matches) == neurons
+    hosts = {d: max((s, -k) for (e, k), (s, _) in want.items() if e == d) for d in {d for d, _ in want}}
+    assert {(r.dropped, r.host) for r in matches} == {(d, -k) for d, (_, k) in hosts.items()}
+    assert sum(r.total for r in library.QUERIES["merge_stats_all"](spark, data).collect()) == neurons
+    assert sum(r.n for r in library.QUERIES["merge_host_load_histogram_all"](spark, data).collect()) == 4 * sum(1 - i % 2 for i in unit)
+    assert library.QUERIES["merge_weighted_sum_all"](spark, data).count() == 64 * sum(1 - i % 2 for i in unit)
+
+    part = {4 * i + n: v[16 * n : 16 * n + 16] / np.linalg.norm(v[16 * n : 16 * n + 16]) for i, v in unit.items() for n in range(4)}
+    d, k = ([i for i in sorted(part) if i // 4 % 2 == odd] for odd in (1, 0))
+    sims = np.array([part[i] for i in d]) @ np.array([part[i] for i in k]).T
+    taken, greedy = set(), set()
+    for i in sorted(range(len(d)), key=lambda i: (-sims[i].max(), d[i])):
+        free = next((j for j in np.argsort(-sims[i], kind="stable")[:8] if j not in taken), None)
+        if free is not None:
+            taken.add(free)
+            greedy.add((d[i], k[free]))
+    assert {(r.row, r.col) for r in library.QUERIES["merge_greedy_global"](spark, data).collect()} == greedy
+    blocks = [(r.row, r.col) for r in library.QUERIES["merge_block_match"](spark, data).collect()]
+    assert len({r for r, _ in blocks}) == len({c for _, c in blocks}) == len(blocks) and max(blocks)[0] > 800
+
+
+def test_first_is_a_stable_sort():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        row = rng.integers(0, 5, rng.integers(1, 20)).astype(float)
+        assert matching._first(row, 8).tolist() == np.argsort(-row, kind="stable")[:8].tolist()
