@@ -249,9 +249,11 @@ def sample_validation(spark, sf_dir):
     return samples.violations(rows).select("doc_id", "error")
 
 
+@also_whole
 @query("SELECT substr(text, 1, 40) AS id, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
-def sample_duplicate_ids(spark, sf_dir):
-    return samples.duplicate_ids(table(spark, sf_dir, "documents").select(F.substring("text", 1, 40).alias("id")))
+def sample_duplicate_ids(spark, sf_dir, whole=False):
+    id_ = F.sha2(F.col("text").cast("binary"), 256) if whole else F.substring("text", 1, 40)
+    return samples.duplicate_ids(table(spark, sf_dir, "documents").select(id_.alias("id")))
 
 
 @query("SELECT doc_id, CASE WHEN CAST('0x' || substr(sha1(format('sample_{:06d}', doc_id)), 1, 8) AS BIGINT) / 4294967295.0 < 0.1 THEN 'val' ELSE 'train' END AS split FROM documents")
@@ -268,20 +270,22 @@ def sample_chunk_assign(spark, sf_dir):
 WORD_LENGTHS = "list_transform(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')[1:12], lambda w: CAST(length(w) AS INTEGER))"
 
 
-def word_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with the lengths of their first 12 words as stand-in for token ids."""
-    ids = F.transform(F.slice(F.array_remove(F.split("text", r"[ \t\n\x0B\f\r]+"), ""), 1, 12), lambda w: F.length(w))
+def word_lengths(spark: SparkSession, sf_dir: str, whole: bool) -> DataFrame:
+    """Documents with the lengths of their words, all or the 12 that the SQL reads, as stand-in for token ids."""
+    words = F.array_remove(F.split("text", r"[ \t\n\x0B\f\r]+"), "")
+    ids = F.transform(words if whole else F.slice(words, 1, 12), lambda w: F.length(w))
     return table(spark, sf_dir, "documents").select("doc_id", "source", ids.alias("ids"))
 
 
+@also_whole
 @query(f"""
     WITH d AS (SELECT doc_id, source, {WORD_LENGTHS} AS ids, CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 8 AS INTEGER) AS batch FROM documents),
     m AS (SELECT *, CAST(ceil(max(len(ids)) OVER (PARTITION BY source, batch) / 4.0) * 4 AS INTEGER) AS n FROM d)
     SELECT doc_id, batch, array_to_string(list_concat(ids, list_transform(range(n - len(ids)), lambda i: 0)), ' ') AS ids,
            array_to_string(list_concat(ids, list_transform(range(n - len(ids)), lambda i: -100)), ' ') AS labels, CAST(len(ids) AS BIGINT) AS valid FROM m
 """)
-def sample_batch_pad(spark, sf_dir):
-    rows = samples.batches(word_lengths(spark, sf_dir), F.col("doc_id"), 8, "source")
+def sample_batch_pad(spark, sf_dir, whole=False):
+    rows = samples.batches(word_lengths(spark, sf_dir, whole), F.col("doc_id"), 8, "source")
     rows = samples.padded(rows, ["source", "batch"], "ids", multiple=4)
     text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), " ")
     return rows.select("doc_id", "batch", text("ids").alias("ids"), text("labels").alias("labels"), F.aggregate("attention_mask", F.lit(0), lambda a, v: a + v).cast("long").alias("valid"))
@@ -293,9 +297,10 @@ def sample_length_sorted_batches(spark, sf_dir):
     return samples.batches(rows, F.col("o"), 4, "source").select("doc_id", "source", "batch")
 
 
+@also_whole
 @query(f"SELECT doc_id, array_to_string(list_transform(ids, lambda v, i: CASE WHEN i % 2 = 0 THEN v ELSE -100 END), ' ') AS labels, array_to_string(list_transform(ids, lambda v, i: CASE WHEN i > len(ids) - 3 THEN v ELSE -100 END), ' ') AS tail FROM (SELECT doc_id, {WORD_LENGTHS} AS ids FROM documents)")
-def sample_label_mask(spark, sf_dir):
-    rows = word_lengths(spark, sf_dir)
+def sample_label_mask(spark, sf_dir, whole=False):
+    rows = word_lengths(spark, sf_dir, whole)
     mask = F.transform("ids", lambda _, i: i % 2)
     text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), " ")
     return rows.select("doc_id", text(samples.masked_labels(F.col("ids"), mask)).alias("labels"), text(samples.tail_labels(F.col("ids"), F.lit(3))).alias("tail"))

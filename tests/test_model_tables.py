@@ -1,7 +1,10 @@
 """Samples, activations, routing, matching, tensors, metrics and files on small hand-made rows."""
 
+import hashlib
 import json
 import math
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -223,3 +226,27 @@ def test_first_is_a_stable_sort():
     for _ in range(200):
         row = rng.integers(0, 5, rng.integers(1, 20)).astype(float)
         assert matching._first(row, 8).tolist() == np.argsort(-row, kind="stable")[:8].tolist()
+
+
+def test_sample_queries_read_whole_texts(spark):
+    data = "/root/testdata/sf0.001"
+    rows = sorted(spark.read.parquet(f"{data}/documents.parquet").collect(), key=lambda r: r.doc_id)
+    lengths = {r.doc_id: [len(w) for w in re.split(r"[ \t\n\x0B\f\r]+", r.text) if w] for r in rows}
+    assert max(map(len, lengths.values())) > 1000
+    by_source, want = {}, {}
+    for r in rows:
+        by_source.setdefault(r.source, []).append(r.doc_id)
+    for ids in by_source.values():
+        for at in range(0, len(ids), 8):
+            to = -(-max(len(lengths[i]) for i in ids[at : at + 8]) // 4) * 4
+            for i in ids[at : at + 8]:
+                own = lengths[i]
+                want[i] = at // 8, " ".join(map(str, own + [0] * (to - len(own)))), " ".join(map(str, own + [-100] * (to - len(own)))), len(own)
+    assert {r.doc_id: (r.batch, r.ids, r.labels, r.valid) for r in library.QUERIES["sample_batch_pad_all"](spark, data).collect()} == want
+
+    masked = {i: (" ".join(str(n if p % 2 else -100) for p, n in enumerate(own)), " ".join(str(n if p >= len(own) - 3 else -100) for p, n in enumerate(own))) for i, own in lengths.items()}
+    assert {r.doc_id: (r.labels, r.tail) for r in library.QUERIES["sample_label_mask_all"](spark, data).collect()} == masked
+
+    counts = Counter(hashlib.sha256(r.text.encode()).hexdigest() for r in rows)
+    got = library.QUERIES["sample_duplicate_ids_all"](spark, data).collect()
+    assert {r.id: r.n for r in got} == {k: n for k, n in counts.items() if n > 1}
