@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.expressions import cosine, dot, is_finite
+from sluice.operators.corpus import written
 
 
 def masked_mean(value: Column, mask: Column | None = None) -> Column:
@@ -72,15 +74,49 @@ def token_stats(df: DataFrame, mask: str) -> DataFrame:
 
 
 def smoothed(df: DataFrame, group: str, step: str, value: str, beta: float = 0.95) -> DataFrame:
-    """Add `ema`: beta * last + (1 - beta) * value, from the first value on; a group's series is one array."""
-    series = df.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(step).alias("step"), F.col(value).cast("double").alias("v")))).alias("x"))
-    first = F.struct(F.lit(None).cast("double").alias("ema"), F.array().cast("array<struct<step:bigint,value:double,ema:double>>").alias("out"))
-
-    def add(a, x):
-        ema = F.when(a["ema"].isNull(), x["v"]).otherwise(a["ema"] * beta + x["v"] * (1 - beta))
-        return F.struct(ema.alias("ema"), F.concat(a["out"], F.array(F.struct(x["step"].cast("long").alias("step"), x["v"].alias("value"), ema.alias("ema")))).alias("out"))
-
-    return series.select(group, F.explode(F.aggregate("x", first, add, lambda a: a["out"])).alias("r")).select(group, "r.*")
+    """Add `ema`: beta * last + (1 - beta) * value, from the first value on; after a null it starts anew.
+
+    Ranges of the sorted rows are folded apart, each from 0, with the weight that the state before the range
+    still has; one row per range and group carries that state on. So no task holds a whole series.
+    """
+    rows = df.select(F.col(group).alias("_g"), F.col(step).cast("long").alias("step"), F.col(value).cast("double").alias("value"))
+    order = ["_g", "step", "value"]
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, state, left, n = None, 0.0, 1.0, 0
+        for batch in batches:
+            own, weight, place = [], [], []
+            for g, v in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if (g,) != of:
+                    of, state, left, n = (g,), 0.0, 1.0, 0
+                if v is None:
+                    state, left = None, 0.0
+                elif state is None:
+                    state = v
+                else:
+                    state, left = beta * state + (1 - beta) * v, left and max(left * beta, 5e-324)  # an infinite state stays one
+                own.append(state)
+                weight.append(left)
+                place.append(n)
+                n += 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.float64()), pa.array(weight, pa.float64()), pa.array(place, pa.int64())], names=names)
+
+    names = ["_g", "step", "value", "_p", "_own", "_left", "_n"]
+    kind = rows.schema["_g"].dataType.simpleString()
+    folded = written(ranged.mapInArrow(fold, f"_g {kind}, step long, value double, _p int, _own double, _left double, _n long"))
+    ends = folded.groupBy("_g", "_p").agg(F.min_by("value", "_n").alias("first"), F.max_by(F.struct("_own", "_left"), "_n").alias("end"))
+    series = ends.groupBy("_g").agg(F.sort_array(F.collect_list(F.struct("_p", "first", F.col("end._own").alias("own"), F.col("end._left").alias("left")))).alias("x"))
+    whole = lambda own, left, before: F.when(left > 0, own + left * before).otherwise(own)
+    start = F.struct(F.lit(None).cast("double").alias("state"), F.array().cast("array<struct<p:int,before:double>>").alias("out"))
+
+    def carry(a, x):
+        before = F.coalesce(a["state"], x["first"])  # a series' first value counts as its own past
+        return F.struct(whole(x["own"], x["left"], before).alias("state"), F.concat(a["out"], F.array(F.struct(x["_p"].alias("p"), before.alias("before")))).alias("out"))
+
+    carried = series.select(F.col("_g").alias("_h"), F.explode(F.aggregate("x", start, carry, lambda a: a["out"])).alias("r")).select("_h", F.col("r.p").alias("_q"), F.col("r.before").alias("_before"))
+    out = folded.join(carried, F.col("_g").eqNullSafe(F.col("_h")) & (F.col("_p") == F.col("_q")))
+    return out.select(F.col("_g").alias(group), "step", "value", whole(F.col("_own"), F.col("_left"), F.col("_before")).alias("ema"))
 
 
 def early_stop(df: DataFrame, group: str, step: str, value: str, patience: int, threshold: float = float("-inf"), least: float = 1e-6) -> DataFrame:

@@ -601,16 +601,18 @@ def metric_hidden(spark, sf_dir):
     return found.select(*(F.round(c, 6).alias(c) for c in found.columns))
 
 
+@also_whole
 @query("""
     WITH RECURSIVE o AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events),
     e AS (SELECT event_type, event_id, r, value AS ema FROM o WHERE r = 1 UNION ALL SELECT o.event_type, o.event_id, o.r, e.ema * 0.95 + o.value * 0.05 FROM e JOIN o ON o.event_type = e.event_type AND o.r = e.r + 1 WHERE o.r <= 200)
     SELECT event_type, event_id AS step, round(ema, 6) AS ema FROM e
 """)
-def metric_ema(spark, sf_dir):
+def metric_ema(spark, sf_dir, whole=False):
     from pyspark.sql import Window
 
     first = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) <= 200
-    rows = table(spark, sf_dir, "events").withColumn("_f", first).where("_f")
+    rows = table(spark, sf_dir, "events")
+    rows = rows if whole else rows.withColumn("_f", first).where("_f")
     return metrics.smoothed(rows, "event_type", "event_id", "value").select("event_type", "step", F.round("ema", 6).alias("ema"))
 
 

@@ -250,3 +250,31 @@ def test_sample_queries_read_whole_texts(spark):
     counts = Counter(hashlib.sha256(r.text.encode()).hexdigest() for r in rows)
     got = library.QUERIES["sample_duplicate_ids_all"](spark, data).collect()
     assert {r.id: r.n for r in got} == {k: n for k, n in counts.items() if n > 1}
+
+
+@pytest.mark.parametrize("joined", ["true", "false"])
+def test_smoothed_is_a_sequential_loop(spark, joined):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", joined)  # false: a series spans ranges
+
+    def loop(rows):
+        want = {}
+        for g in {r[0] for r in rows}:
+            ema = None
+            for _, s, v in sorted(r for r in rows if r[0] == g):
+                ema = None if v is None else v if ema is None else ema * 0.95 + v * 0.05
+                want[g, s] = ema
+        return want
+
+    def same(got, want):
+        assert got.keys() == want.keys()
+        assert all((got[i] is None) == (want[i] is None) and (want[i] is None or math.isclose(got[i], want[i], abs_tol=2e-6)) for i in want)
+
+    data = "/root/testdata/sf0.01"
+    events = [(r.event_type, r.event_id, r.value) for r in spark.read.parquet(f"{data}/events.parquet").select("event_type", "event_id", "value").collect()]
+    assert len(events) == 10_000
+    same({(r.event_type, r.step): r.ema for r in library.QUERIES["metric_ema_all"](spark, data).collect()}, loop(events))
+
+    odd = [("a", i, None if i in (0, 5, 6, 700, 999) else float(i % 13)) for i in range(1000)] + [("b", 3, 2.0), ("c", 1, None), ("c", 2, 4.0)]
+    df = spark.createDataFrame(odd, "g string, s long, v double").repartition(7)
+    same({(r.g, r.step): r.ema for r in metrics.smoothed(df, "g", "s", "v").collect()}, loop(odd))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
