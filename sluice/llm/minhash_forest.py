@@ -4,7 +4,8 @@
    class, represented by its smallest doc_id; only representatives go on.
 2. Each tree of the forest orders the representatives by its own slice of the signature. Rows next to
    each other that share a prefix of at least LEAST_DEPTH values form a region; a region of more than
-   LARGE rows is cut at deeper prefixes, down to the whole slice. The orders are range-sorted on the full
+   LARGE rows is cut at deeper prefixes, down to the whole slice, and its parts are linked by their first
+   rows, so that all that share LEAST_DEPTH values stay together. The orders are range-sorted on the full
    key, so a dense region spreads over tasks like any other rows.
 3. Regions over all trees are merged into candidate groups, and links are confirmed on full sets within
    each group. A group of more than BLOCK rows is confirmed block by block together with its leaders (the
@@ -112,9 +113,9 @@ def regions(keys: list[bytes], first: int, last: int, depth: int) -> Iterator[tu
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One range of the sorted orders: links to the first row of each region, and the range's two ends."""
-    names = ["kind", "tree", "key", "a", "b", "depth"]
-    types = (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
+    """One range of the sorted orders: links to the first row of each region and of all that it was cut from, and the range's two ends."""
+    names = ["kind", "tree", "key", "a", "b"]
+    types = (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
 
     def table(rows):
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
@@ -122,13 +123,13 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys, nodes, tree, ends, rows = [], [], None, [], []
 
     def flush():
-        depth_of_last = LEAST_DEPTH
-        for a, b, depth in regions(keys, 0, len(keys), LEAST_DEPTH):
-            rows.extend((0, tree, None, nodes[i], nodes[a], depth) for i in range(a + 1, b) if nodes[i] != nodes[a])
-            depth_of_last = max(depth_of_last, depth)
+        to = [0] * len(keys)
+        for a, b, _ in regions(keys, 0, len(keys), LEAST_DEPTH):
+            to[a + 1 : b] = [a] * (b - a - 1)
+        rows.extend((0, tree, None, nodes[i], nodes[j]) for i, j in enumerate(to) if nodes[i] != nodes[j])
         if keys:
-            ends.append((1, tree, keys[0], nodes[0], None, depth_of_last))
-            ends.append((2, tree, keys[-1], nodes[-1], None, depth_of_last))
+            ends.append((1, tree, keys[0], nodes[0], None))
+            ends.append((2, tree, keys[-1], nodes[-1], None))
 
     for batch in batches:
         for t, key, node in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -151,12 +152,12 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
     rows = classes.select("node", F.posexplode(slices).alias("tree", "key")).select("tree", "key", "node")
     order = ["tree", "key", "node"]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    walked = materialise(ranged.mapInArrow(_walk, "kind int, tree int, key binary, a long, b long, depth int"), "forest")
+    walked = materialise(ranged.mapInArrow(_walk, "kind int, tree int, key binary, a long, b long"), "forest")
     # two rows per range: the last of one and the first of the next may belong to one region
     ends = walked.where("kind > 0")
     before = Window.partitionBy("tree").orderBy("key", "a", "kind")
-    deep = F.greatest("depth", F.lag("depth").over(before)) * 4
-    joined = ends.select(F.col("a"), F.lag("a").over(before).alias("b"), F.expr("substring(key, 1, 4)").alias("_"), "key", deep.alias("n"), F.lag("key").over(before).alias("old")).where(F.col("key").substr(F.lit(1), F.col("n")) == F.col("old").substr(F.lit(1), F.col("n")))
+    shared = F.substring("key", 1, 4 * LEAST_DEPTH)
+    joined = ends.select("a", F.lag("a").over(before).alias("b"), shared.alias("shared"), F.lag(shared).over(before).alias("old")).where("shared = old")
     return walked.where("kind = 0").select("a", "b").unionByName(joined.where("a != b").select("a", "b"))
 
 

@@ -134,6 +134,17 @@ def test_passages_are_those_of_a_sequential_scan(spark, docs):
     assert texts[30_000].count(passage) == 1 and texts[30_003] == "Start 3 here.\nThe end 3." and texts[30_100] == "Some words first. And some after."
 
 
+def test_outliers_of_a_large_group_are_linked(spark):
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    rows = [(i, edited(rng, base, 1)) for i in range(200)] + [(500, " ".join(base))]
+    rows += [(1000 + i, " ".join([*base, *(f"more{rng.random()}" for _ in range(70))])) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in minhash_forest.near_duplicates(df, 5, 80, 100).collect()]
+    assert sorted(got) == sorted(brute_components(rows, 5, 80, 100))
+    assert {g[2] for g in got} == {0}
+
+
 def test_no_passages(spark, empty):
     assert line_dedup.repeated_passages(empty).collect() == []
     assert minhash_forest.near_duplicates(empty).collect() == []
