@@ -18,13 +18,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm._shared import bound_batches
 
-#: Hash buckets, centroids a language, most texts sampled for a language and most languages (the most frequent).
-BUCKETS, CENTROIDS, SAMPLE, LANGUAGES = 4096, 4, 600, 64
+#: Hash buckets, centroids a language, most texts sampled for a language.
+BUCKETS, CENTROIDS, SAMPLE = 4096, 4, 600
 #: Rejected: cosine below this share of the centroid's 1st percentile, scaled by length.
 REJECT = 0.5
 
@@ -93,19 +93,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from rows(text, lang) with both set.
 
-    Each language gives about `sample` distinct texts, chosen by a hash of the text. Their trigrams are
-    counted on the executors; the driver gets LANGUAGES * sample vectors of BUCKETS floats at most.
+    Each language gives `sample` of its distinct texts, or all if it has fewer: those with the least hashes. Their
+    trigrams are counted on the executors; the driver gets `sample` vectors of BUCKETS floats a language at most.
     """
     bound_batches(rows.sparkSession)
     rows = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text")).where("lang is not null and text is not null")
     rows = rows.where(F.col("text").rlike(r"\p{L}"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    distinct = rows.select("lang", "h").distinct()
+    share = F.broadcast(distinct.groupBy("lang").count().select("lang", F.least(F.lit(1.0), (sample + 8 * sample**0.5) / F.col("count")).alias("share")))
+    place = F.pmod(F.col("h"), F.lit(1 << 40)) / float(1 << 40)
+    # of distinct texts, so that a group of copies counts once; somewhat more than the sample, whose least hashes stay
+    first = distinct.join(share, "lang").where(place < F.col("share")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.col("h"), F.lit(1 << 40)), "h"))).where(F.col("r") <= sample)
+    chosen = [(r["lang"], r["h"]) for r in first.select("lang", "h").collect()]
+    if not chosen:
         return Model([], np.zeros(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), np.zeros(0))
-    share = F.broadcast(rows.sparkSession.createDataFrame([(r["lang"], min(1.0, sample / r["count"])) for r in sizes], "lang string, share double"))
-    place = (F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)).alias("place")
-    picked = rows.select("lang", "text", place).join(share, "lang").where("place < share").groupBy("lang", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
-    got = sorted((r["lang"], bytes(r["counts"])) for r in picked.select("lang", "text").mapInArrow(_count, "lang string, counts binary").limit(2 * LANGUAGES * sample).collect())
+    chosen = F.broadcast(rows.sparkSession.createDataFrame(chosen, "lang string, h long"))
+    picked = rows.join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    got = sorted((r["lang"], bytes(r["counts"])) for r in picked.select("lang", "text").mapInArrow(_count, "lang string, counts binary").collect())
     languages = sorted({lang for lang, _ in got})
     x = np.frombuffer(b"".join(c for _, c in got), "<f4").reshape(len(got), BUCKETS)
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)

@@ -116,3 +116,27 @@ def test_language_of_odd_texts(docs, empty):
 @pytest.mark.parametrize("text", ["", "x", "é" * 5, "12 34"])
 def test_short_texts_have_vectors(text):
     assert language_id.trigram_counts(text).shape == (language_id.BUCKETS,)
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(8)
+
+    def text(k):
+        letters = [chr(97 + (7 * k + 5 * i * (k // 26 + 1)) % 26) for i in range(5)]
+        return " ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(40))
+
+    rows = [(text(k), f"l{k:02d}") for k in range(70) for _ in range(3)]
+    few = [text(71) for _ in range(5)]
+    rows += [(t, "copies") for t in few for _ in range(4000)]
+    model = language_id.train(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.languages == sorted({lang for _, lang in rows})
+    assert {model.predict([t])[0][0] for t in few} == {"copies"}
+
+
+def test_a_language_gives_its_sample(spark, monkeypatch):
+    seen = []
+    clusters = language_id._clusters
+    monkeypatch.setattr(language_id, "_clusters", lambda x, k: seen.append(len(x)) or clusters(x, k))
+    rows = [(f"some text number {chr(97 + i % 26)}{chr(97 + i // 26)} here", "aa") for i in range(300)] + [(f"other {chr(97 + i)}", "bb") for i in range(9)] * 200
+    language_id.train(spark.createDataFrame(rows, "text string, lang string"), sample=40)
+    assert seen == [40, 9]
