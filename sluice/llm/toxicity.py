@@ -6,8 +6,8 @@ so that unseen forms of known stems score too; the feature whose likelihood rati
 counts, and each repetition in a text halves a positive score. A drift makes an average clean word score below zero, and one linear scan finds every maximal segment of
 positive score. The scale of random segments comes from the Karlin-Altschul equation over clean words;
 the best segment's normalised score, less the logarithm of the text's length, follows an extreme-value
-law in clean texts, against which a logistic curve is fitted on training texts that the log-odds were
-not learned from.
+law in clean texts, against which a logistic curve is fitted on a bounded sample of training texts with
+log-odds that were learned from the others; the log-odds that score are learned from all.
 
 Defined cases: a null text is an empty text; a text without words gets the score of no evidence; with no
 training rows, or rows of one class, every score is that class's share (0 without rows); a label that
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm._shared import bound_batches
+from sluice.llm._shared import bound_batches, materialise
 
 from sluice.llm.license_scan import words_of
 
@@ -39,8 +39,6 @@ DRIFT, CLIP, CALIBRATION = 0.5, 9.0, 20_000
 STEMS = (4, 5, 6, 7, 8)
 #: Labels up to this count are sent to every executor instead of shuffling the texts.
 BROADCAST_LABELS = 1_000_000
-#: Clean texts whose words set the scale, and their most bytes; the driver holds them.
-SCALE_TEXTS, SCALE_BYTES = 500, 20_000
 _FLUSH, _MEMO = 200_000, 200_000
 
 
@@ -121,27 +119,32 @@ class Model:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of each class with each feature, flushed before the counter grows too large."""
-    both: tuple[Counter, Counter] = Counter(), Counter()
+    """Texts of each class and part (0: the others, 1: calibrating) with each feature, flushed before the counters grow too large."""
+    four = tuple(Counter() for _ in range(4))
 
     def out():
-        names = list(both[0].keys() | both[1].keys())
-        table = pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), *(pa.array([c[n] for n in names], pa.int64()) for c in both)], names=["feature", "clean", "toxic"])
-        for c in both:
+        names = list(set().union(*four))
+        table = pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), *(pa.array([c[n] for n in names], pa.int64()) for c in four)], names=["feature", "clean0", "toxic0", "clean1", "toxic1"])
+        for c in four:
             c.clear()
         return table
 
     for batch in batches:
-        for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            both[toxic].update({f for w in set(words_of(text.as_py())) for f in features(w)})
-            if len(both[0]) + len(both[1]) > _FLUSH:
+        for text, toxic, part in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            four[2 * part + toxic].update({f for w in set(words_of(text.as_py())) for f in features(w)})
+            if sum(map(len, four)) > _FLUSH:
                 yield out()
     yield out()
 
 
-def _log_odds(train: DataFrame, n_clean: int, n_toxic: int) -> dict[bytes, tuple[float, float]]:
-    """Significant features only; counted and compared on the executors."""
-    counts = train.select("text", "toxic").mapInArrow(_counts, "feature binary, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+def _feature_counts(train: DataFrame) -> DataFrame:
+    columns = ["clean0", "toxic0", "clean1", "toxic1"]
+    found = train.select("text", "toxic", "part").mapInArrow(_counts, "feature binary, " + ", ".join(f"{c} long" for c in columns))
+    return found.groupBy("feature").agg(*(F.sum(c).alias(c) for c in columns))
+
+
+def _log_odds(counts: DataFrame, n_clean: int, n_toxic: int) -> dict[bytes, tuple[float, float]]:
+    """Significant features only, of counts(feature, clean, toxic); compared on the executors."""
     prior = F.lit(PRIOR) * (F.col("clean") + F.col("toxic")) / float(n_clean + n_toxic)
     odds = {}
     for name, n in (("toxic", n_toxic), ("clean", n_clean)):
@@ -157,9 +160,31 @@ def _log_odds(train: DataFrame, n_clean: int, n_toxic: int) -> dict[bytes, tuple
     return {bytes(r["feature"]): (r["delta"], r["ratio"]) for r in kept.orderBy(F.desc("ratio"), "feature").limit(FEATURES).collect()}
 
 
-def _scale(model: Model, texts: list[bytes]) -> float:
-    """The positive root of E[exp(scale * score)] = 1 over the words of clean texts."""
-    found = Counter(round(model.word(w), 3) for t in texts for w in words_of(t))
+def _word_scores(models_cast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = models_cast.value
+        found: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                for w, n in Counter(words_of(text.as_py())).items():
+                    for i, model in enumerate(models):
+                        found[i, round(model.word(w), 3)] += n
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.int32()), pa.array([k[1] for k in found], pa.float64()), pa.array(list(found.values()), pa.int64())], names=["model", "score", "n"])
+
+    return run
+
+
+def _set_scales(models: list[Model], clean: DataFrame) -> None:
+    """The scale of each model from the words of all distinct clean texts; a score has three decimals, so few rows come back."""
+    distinct = clean.select("text", F.xxhash64("text").alias("h"), F.length("text").alias("l")).dropDuplicates(["h", "l"])
+    cast = clean.sparkSession.sparkContext.broadcast(models)
+    rows = distinct.select("text").mapInArrow(_word_scores(cast), "model int, score double, n long").groupBy("model", "score").agg(F.sum("n").alias("n")).collect()
+    for i, model in enumerate(models):
+        model.scale = _scale({r["score"]: r["n"] for r in rows if r["model"] == i})
+
+
+def _scale(found: dict[float, int]) -> float:
+    """The positive root of E[exp(scale * score)] = 1 over the words of clean texts, counted by score."""
     values, share = np.array(list(found), float), np.array(list(found.values()), float)
     if not len(values) or values.max() <= 0:
         return 1.0
@@ -194,20 +219,26 @@ def _evidence(model_cast):
     return run
 
 
-def fit(train: DataFrame, calibrate: DataFrame) -> Model:
-    """Learn log-odds from train(text binary, toxic 0/1), calibrate on texts that it doesn't hold.
+def fit(train: DataFrame) -> Model:
+    """Learn from train(text binary, toxic 0/1).
 
-    The log-odds use every row. The scale and the curve use CALIBRATION texts at most, picked by a hash.
+    The log-odds use every row. The curve uses about CALIBRATION texts at most, and of few rows a quarter, picked by
+    a hash: their evidence comes from log-odds that were learned without them.
     """
     spark = train.sparkSession
-    sizes = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
-    if not sizes.get(0) or not sizes.get(1):
-        return Model({}, shift=20.0 if sizes.get(1) else -20.0)
-    model = Model(_log_odds(train, sizes[0], sizes[1]))
-    n = calibrate.count()
-    some = calibrate.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, CALIBRATION / max(n, 1))))
-    model.scale = _scale(model, [bytes(r["text"]) for r in some.where((F.col("toxic") == 0) & (F.length("text") < SCALE_BYTES)).orderBy(F.xxhash64("text")).limit(SCALE_TEXTS).select("text").collect()])
-    rows = some.select("text", F.col("toxic")).mapInArrow(_evidence(spark.sparkContext.broadcast(model)), "x double, y int").limit(2 * CALIBRATION).collect()
+    n = train.count()
+    share = min(0.25, CALIBRATION / max(n, 1))
+    train = train.withColumn("part", (F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int((1 << 20) * share)).cast("int"))
+    parts = {(r["toxic"], r["part"]): r["count"] for r in train.groupBy("toxic", "part").count().collect()}
+    sizes = [parts.get((k, 0), 0) + parts.get((k, 1), 0) for k in (0, 1)]
+    if not sizes[0] or not sizes[1]:
+        return Model({}, shift=20.0 if sizes[1] else -20.0)
+    counts = materialise(_feature_counts(train), "features")
+    model = Model(_log_odds(counts.select("feature", (F.col("clean0") + F.col("clean1")).alias("clean"), (F.col("toxic0") + F.col("toxic1")).alias("toxic")), *sizes))
+    others = [parts.get((k, 0), 0) for k in (0, 1)]
+    apart = Model(_log_odds(counts.select("feature", F.col("clean0").alias("clean"), F.col("toxic0").alias("toxic")), *others) if all(others) else model.weights)
+    _set_scales([model, apart], train.where("toxic = 0"))
+    rows = train.where("part = 1").select("text", "toxic").mapInArrow(_evidence(spark.sparkContext.broadcast(apart)), "x double, y int").limit(2 * CALIBRATION).collect()
     x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], float)
     if not len(x) or y.min() == y.max():
         x, y = np.append(x, [0.0, 10.0]), np.append(y, [0.0, 1.0])
@@ -261,6 +292,5 @@ def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").withColumn("fold", fold).where("fold != 0")
     known = F.broadcast(known) if known.count() <= BROADCAST_LABELS else known
-    train = rows.join(known, "doc_id")
-    model = fit(train.where("fold != 1"), train.where("fold = 1"))
+    model = fit(rows.join(known, "doc_id"))
     return rows.select("doc_id", (fold == 0).alias("held_out"), "text").mapInArrow(_score(text_model(model)), "doc_id long, held_out boolean, score double, predicted int, n_passages long")

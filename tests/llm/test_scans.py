@@ -140,3 +140,27 @@ def test_a_language_gives_its_sample(spark, monkeypatch):
     rows = [(f"some text number {chr(97 + i % 26)}{chr(97 + i // 26)} here", "aa") for i in range(300)] + [(f"other {chr(97 + i)}", "bb") for i in range(9)] * 200
     language_id.train(spark.createDataFrame(rows, "text string, lang string"), sample=40)
     assert seen == [40, 9]
+
+
+def test_log_odds_use_every_label(spark, monkeypatch):
+    rng, seen = random.Random(14), []
+    cast = toxicity.text_model
+    monkeypatch.setattr(toxicity, "text_model", lambda model: seen.append(model) or cast(model))
+    usual = [f"w{i}" for i in range(400)]
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i in range(3000)}
+    toxic = {k: [i for i in fold if fold[i] == k][:8] for k in (1, 2)}  # each word stands in rows of one fold alone
+    word = {i: f" zzq{k}" for k, ids in toxic.items() for i in ids}
+    rows = [(i, " ".join(rng.sample(usual, 30)) + word.get(i, ""), int(i in word)) for i in fold]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    toxicity.score(df.select("doc_id", "text"), df.select("doc_id", "toxic")).collect()
+    assert seen[0].word(b"zzq1") > 0 and seen[0].word(b"zzq2") > 0 and {b"zzq1", b"zzq2"} <= seen[0].weights.keys()
+
+
+def test_the_scale_is_that_of_all_distinct_clean_texts(spark):
+    model = toxicity.Model({b"bad": (3.0, 20.0), b"good": (-2.0, 20.0)})
+    long = "bad " * 6_000 + "good " * 9_000
+    rows = ["good bad good word", long] + ["good good good bad"] * 700
+    toxicity._set_scales([model], spark.createDataFrame([(t.encode(),) for t in rows], "text binary"))
+    words = [w for t in set(rows) for w in t.split()]
+    assert abs(np.mean([np.exp(model.scale * model.word(w.encode())) for w in words]) - 1) < 1e-3
+    assert toxicity._scale({}) == 1.0
