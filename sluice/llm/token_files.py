@@ -46,7 +46,9 @@ class MemoEncoder:
 
         import public_tokenizers
 
-        model = Tokenizer.from_file(path).model
+        self.whole, self.dtype = Tokenizer.from_file(path), dtype
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        model = self.whole.model
         find = regex.compile(public_tokenizers.PATTERN).findall
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the bytes that stand for themselves in byte-level vocabularies
         letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(shown))}
@@ -70,6 +72,8 @@ class MemoEncoder:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian numbers of the encoder's type."""
+        if any(t in text for t in self.added):  # the library takes these out before it cuts pre-tokens
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         if _RUN.search(text):  # runs of white space stay whole
             return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text)))
         found, (first, *rest) = self.pieces, text.split(" ")

@@ -95,6 +95,12 @@ def test_pieces_agree_with_whole_texts():
         assert np.frombuffer(memo.encode(text), "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids == bpe.encode(text, RANKS)
 
 
+def test_added_tokens_are_those_of_the_plain_call():
+    whole, memo = Tokenizer.from_file(JSON), token_files.MemoEncoder(JSON, "<u2")
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y", "a <|endoftext | > b"):
+        assert np.frombuffer(memo.encode(text), "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize(("chunk", "overlap"), [(16_384, 512), (2_000, 15)])
 def test_chunked_bpe(spark, docs, chunk, overlap):
     got = bpe.round_trip(docs, RANKS, chunk, overlap).collect()
