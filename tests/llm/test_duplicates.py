@@ -198,6 +198,17 @@ def test_proximity(spark):
     assert {(r.doc_id, r.item_id) for r in got} <= {(2, "7")} and all(1 <= r.distance <= 3 for r in got)
 
 
+def test_proximity_finds_the_near_document(spark):
+    words = [f"w{i}" for i in range(12)]
+    hits = set()
+    for at in range(1, 12):  # a word put in between moves one probe against the other only where it stands between them
+        df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:at], "between", *words[at:]]))], "doc_id long, text string")
+        hits |= {r.doc_id for r in decontam.proximity_matches(df, spark.createDataFrame([(7, " ".join(words))], "item_id long, text string"), slack=3).collect()}
+        if hits:
+            break
+    assert hits == {2}
+
+
 def test_fingerprints(spark, docs):
     got = syncmers.edited_fingerprints(docs).collect()
     rows = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
