@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import bisect
 import os
 import tempfile
 import uuid
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,6 +21,9 @@ WORD_CLASS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Rows and bytes of one Arrow batch between the JVM and a Python worker.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
+#: The scratch folders that are still there, in the order they were made.
+_made: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
@@ -46,9 +51,51 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def _delete(spark: SparkSession, folders: Sequence[str]) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete every scratch folder of this program; results that are not written elsewhere go with them."""
+    folders, _made[:] = list(_made), []
+    _delete(spark, folders)
+
+
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession() if _made else None
+    if spark is not None and getattr(spark.sparkContext, "_jsc", None) is not None:
+        drop_scratch(spark)
+
+
+atexit.register(_at_exit)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete on leaving the block what was made in it, except what is handed to the function it gives.
+
+    Only for blocks whose result is written: what is read lazily later has to be kept. Whatever is left
+    goes when the program ends, or with drop_scratch.
+    """
+    before, kept = set(_made), []
+
+    def keep(written: DataFrame) -> DataFrame:
+        kept.append(_made[-1])  # a table is kept as soon as it is written
+        return written
+
+    yield keep
+    gone = [f for f in _made if f not in before and f not in kept]
+    _made[:] = [f for f in _made if f not in gone]
+    _delete(spark, gone)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_folder(spark)}/sluice-{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing uses yet; it is deleted when the program ends."""
+    _made.append(f"{shared_folder(spark)}/sluice-{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
@@ -94,8 +141,9 @@ def shard_bounds(slim: DataFrame, key: str, weight: str, per_shard: int, name: s
 
     Depends on the rows alone, not on how they are partitioned. The list has one number per shard.
     """
-    ordered = running_order(slim.where(F.col(key).isNotNull()).select(key, weight), [F.col(key)], F.col(weight), name)
-    found = ordered.groupBy(F.floor(F.col("_before") / F.lit(per_shard)).alias("s")).agg(F.min(key).alias("k")).collect()
+    with scratch(slim.sparkSession):
+        ordered = running_order(slim.where(F.col(key).isNotNull()).select(key, weight), [F.col(key)], F.col(weight), name)
+        found = ordered.groupBy(F.floor(F.col("_before") / F.lit(per_shard)).alias("s")).agg(F.min(key).alias("k")).collect()
     return sorted({r["k"] for r in found})
 
 
