@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm._shared import bound_batches, materialise
+from sluice.llm._shared import bound_batches, materialise, running_order, scratch, unused
 from sluice.llm.components import components
 
 #: Trees, values of a tree's key, least shared prefix, rows of a region that is cut deeper.
@@ -161,23 +161,28 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
     return walked.where("kind = 0").select("a", "b").unionByName(joined.where("a != b").select("a", "b"))
 
 
+def _linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sorted sets are alike enough; their sizes alone may rule it out."""
+    if den * min(len(a), len(b)) < num * max(len(a), len(b)):
+        return False
+    small, large = (a, b) if len(a) < len(b) else (b, a)
+    at = np.searchsorted(large, small)
+    both = int(np.count_nonzero(large[np.minimum(at, len(large) - 1)] == small))
+    return den * both >= num * (len(a) + len(b) - both)
+
+
 def _confirm(n: int, num: int, den: int, keys: int):
     """Rows sorted by group: links that span each group's clusters, as (node, cluster's first node)."""
 
-    def links(group: list[tuple[int, bytes]]) -> Iterator[tuple[int, int]]:
-        clusters: list[list[tuple[int, int, frozenset]]] = []
-        for node, text in group:
-            own = frozenset(shingles(text, n).tolist())
-            mine = [(node, len(own), own)]
+    def links(group: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, int]]:
+        clusters: list[list[tuple[int, np.ndarray]]] = []
+        for node, own in group:
+            mine = [(node, own)]
             rest = []
             for cluster in clusters:
-                for other, size, theirs in cluster:
-                    if other == node:
+                for other, theirs in cluster:
+                    if other == node or _linked(own, theirs, num, den):
                         break
-                    if den * min(size, len(own)) >= num * max(size, len(own)):
-                        both = len(own & theirs)
-                        if den * both >= num * (size + len(own) - both):
-                            break
                 else:
                     rest.append(cluster)
                     continue
@@ -195,7 +200,7 @@ def _confirm(n: int, num: int, den: int, keys: int):
                 if here != key:
                     out += links(group)
                     group, key = [], here
-                group.append((node, text.as_py()))
+                group.append((node, shingles(text.as_py(), n)))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
         out = list(links(group))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
@@ -225,7 +230,7 @@ def _confirm_large(large: DataFrame, n: int, confirm) -> DataFrame:
     """Links within groups of more than BLOCK rows."""
     signed = materialise(large.select("node", F.col("text")).mapInArrow(_sign(n), _SIGNED).select(F.col("doc_id").alias("node"), "signature"), "signed")
     values = large.select("component", "node").join(signed, "node").select("component", "node", F.posexplode(F.array(*(F.substring("signature", 4 * DEPTH * t + 1, 4) for t in range(TREES)))).alias("tree", "value"))
-    common = values.groupBy("component", "tree", "value").agg(F.count(F.lit(1)).alias("agree"))
+    common = materialise(values.groupBy("component", "tree", "value").agg(F.count(F.lit(1)).alias("agree")), "common")  # written, so that the join's sides are dealt out by themselves and a frequent value can be split
     rated = values.join(common, ["component", "tree", "value"]).groupBy("component", "node").agg(F.sum("agree").alias("agree"))
     best = rated.groupBy("component", F.pmod(F.xxhash64("node"), F.lit(LEADERS))).agg(F.max(F.struct("agree", "node")).alias("best"))
     leaders = materialise(best.select("component", F.col("best.node").alias("node"), (-F.col("best.agree")).alias("rank")), "leaders")
@@ -275,14 +280,27 @@ def near_duplicates(documents: DataFrame, n: int = 3, num: int = 85, den: int =
 def without_near_duplicates(documents: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One document of each near-duplicate component: the one with the smallest doc_id.
 
-    Of rows that share a doc_id one stays; rows without a doc_id all stay.
+    A document is its doc_id and text: rows equal in both are one document, of which one row stays; rows that
+    share a doc_id but not their text are documents of their own, in the order of their texts' hashes. Rows
+    without a doc_id all stay.
     """
-    found = materialise(near_duplicates(documents, n, num, den).select("doc_id", "kept"), "found")
-    dropped = found.where(~F.col("kept")).select("doc_id").distinct()
-    dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped
-    left = documents.join(dropped, documents["doc_id"].cast("long") == dropped["doc_id"], "left_anti")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return left
-    first = left.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return first.unionByName(left.where("doc_id is null"))
+    spark = documents.sparkSession
+    d, h, node = unused(documents, "_d", "_h", "_node")
+    keyed = documents.withColumns({d: F.col("doc_id").cast("long"), h: F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    with scratch(spark) as keep:
+        ids = materialise(keyed.where(F.col(d).isNotNull()).groupBy(d, h).agg(F.count(F.lit(1)).alias("n")), "ids")
+        shared = not ids.groupBy(d).agg(F.sum("n").alias("n")).where("n > 1").isEmpty()
+        if not shared:
+            found = near_duplicates(documents, n, num, den)
+            dropped = keep(materialise(found.where(~F.col("kept")).select(F.col("doc_id").alias(d)), "dropped"))
+        else:
+            numbered = running_order(ids, [F.col(d), F.col(h)], F.lit(1), "numbers").withColumnRenamed("_before", node)
+            numbered = materialise(numbered.select(d, h, node), "numbers")
+            rows = keyed.select(d, h, "text").dropDuplicates([d, h]).join(numbered, [d, h]).select(F.col(node).alias("doc_id"), "text")
+            found = near_duplicates(rows, n, num, den).where(~F.col("kept"))
+            dropped = keep(materialise(numbered.join(found.select(F.col("doc_id").alias(node)), node).select(d, h), "dropped"))
+    gone = F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped
+    left = keyed.join(gone, [d, h] if shared else d, "left_anti")
+    if shared:
+        left = left.where(F.col(d).isNotNull()).dropDuplicates([d, h]).unionByName(left.where(F.col(d).isNull()))
+    return left.select(documents.columns)
