@@ -3,9 +3,9 @@
 A unit is a line or, where a line holds several, one of its sentences, so that an edit spoils one sentence
 and not its whole line. Units are compared in lower case with white space collapsed, by a 128-bit digest.
 Of equal units the earliest keeps its place: smallest doc_id, then smallest digest of the whole text, then
-position. Consecutive units that an earlier place already holds form a passage; passages of at least
-`min_words` words are removed, with their offsets in the original text. Shorter repeats (a stock phrase
-here and there) stay.
+position. Consecutive units that an earlier place already holds form a passage, which is removed, with its
+offsets in the original text. A caller that wants to keep stock phrases asks for passages of `min_words`
+words at least; without it every repeated unit goes.
 
 Units are aggregated by digest with map-side combination, then joined to the few digests that occur
 twice, a join that Spark may split where one digest is very frequent.
@@ -26,25 +26,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm._shared import bound_batches, materialise, unused
+from sluice.llm._shared import bound_batches, materialise, scratch, unused
 
-#: Words of a passage, at least.
+#: Words of a passage that the query and the pipeline remove, at least.
 MIN_WORDS = 20
-#: Documents with passages up to this number are sent to every executor instead of shuffling all texts.
+#: Digests and documents with passages (rows of fixed width) up to this number are sent to every executor.
 BROADCAST_ROWS = 500_000
 _LAST = (1 << 63) - 1
 
-_BREAK = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
+_SPACE = re.compile(r"\s+")
 _UNITS = "doc_id long, doc_key long, pos int, start int, end int, words int, h1 long, h2 long"
 
 
 def units(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of each unit that isn't blank, in code points."""
+    """(start, end) of each unit that isn't blank, in code points; in time linear in the text.
+
+    White space ends a unit if it holds a line's end or follows a sentence's.
+    """
     at = 0
-    for gap in _BREAK.finditer(text):
-        if gap.start() > at:
-            yield at, gap.start()
-        at = gap.end()
+    for gap in _SPACE.finditer(text):
+        start = gap.start()
+        if "\n" in gap[0] or start and text[start - 1] in ".!?":
+            if start > at:
+                yield at, start
+            at = gap.end()
     if at < len(text):
         yield at, len(text)
 
@@ -70,7 +75,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield table(rows)
 
 
-def repeated_passages(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_passages(documents: DataFrame, min_words: int = 0) -> DataFrame:
     """doc_id, doc_key, start, end, n_words, n_units, first_doc_id of every passage to remove.
 
     start and end are offsets in code points; first_doc_id holds the passage's first unit. doc_key is the
@@ -92,20 +97,24 @@ def repeated_passages(documents: DataFrame, min_words: int = MIN_WORDS) -> DataF
     return passages.where(F.col("n_words") >= min_words).select("doc_id", "doc_key", "start", "end", "n_words", "n_units", F.col("f.first_doc_id").alias("first_doc_id"))
 
 
-def deduplicated(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def deduplicated(documents: DataFrame, min_words: int = 0) -> DataFrame:
     """The documents without repeated passages; those of which nothing is left go."""
-    passages = materialise(repeated_passages(documents, min_words), "passages")
-    return without_passages(documents, passages).where("text is null or text rlike '[^ \\\\t\\\\n\\\\x0B\\\\f\\\\r]'")
+    with scratch(documents.sparkSession) as keep:
+        passages = keep(materialise(repeated_passages(documents, min_words), "passages"))
+    return without_passages(documents, passages, drop_empty=True)
 
 
-def without_passages(documents: DataFrame, passages: DataFrame) -> DataFrame:
-    """The documents with the passages cut out of `text` (and the white space after each)."""
+def without_passages(documents: DataFrame, passages: DataFrame, drop_empty: bool = False) -> DataFrame:
+    """The documents with the passages cut out of `text` (and the white space after each).
+
+    With drop_empty, documents whose text is blank, or all of which is cut, go; null texts stay.
+    """
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
         for text, found in zip(texts, spans, strict=True):
-            if found is not None and len(found):
+            if found is not None:
                 kept, at = [], 0
                 for span in sorted((s["start"], s["end"]) for s in found):
                     kept.append(text[at : span[0]])
@@ -118,6 +127,10 @@ def without_passages(documents: DataFrame, passages: DataFrame) -> DataFrame:
 
     doc, key, hashed, spans = unused(documents, "_id", "_key", "_hash", "_spans")
     found = passages.groupBy(F.col("doc_id").alias(doc), F.col("doc_key").alias(key)).agg(F.collect_list(F.struct("start", "end")).alias(spans))
-    found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+    found = F.broadcast(found) if passages.count() <= BROADCAST_ROWS else found
     joined = documents.withColumn(hashed, F.xxhash64("text")).join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(hashed) == F.col(key)), "left")
-    return joined.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(cut(F.col("text"), F.col(spans)))).select(documents.columns)
+    # texts without passages don't travel to Python; as a call that may not be repeated it runs once, also under the filter
+    has = F.col(spans).isNotNull()
+    changed = cut.asNondeterministic()(F.when(has, F.col("text")), F.col(spans))
+    out = joined.withColumn("text", F.coalesce(changed, F.col("text"))).select(documents.columns)
+    return out.where(F.col("text").isNull() | F.col("text").rlike(r"[^ \t\n\x0B\f\r]")) if drop_empty else out
