@@ -3,15 +3,18 @@
 The automaton holds the words of all licence templates. A text's words stream through it and give
 matching statistics: at each word, how many words up to it stand so in some template. Matches that
 cannot be extended to the right and span `LEAST` words or more are chained, in order, along each
-template; a chain that covers enough of its template labels the text. Only runs of at least LEAST
+template; a chain that covers enough of its template labels the text, unless a chain of another template
+matches more words in the same place. Only runs of at least LEAST
 template words are streamed, since no long match crosses another word.
 
 Defined cases: a null text is an empty text: no words, no labels, score 0; places of equal phrases all
-count; repeated rows get equal results; further columns are ignored.
+count; repeated rows get equal results; a very long text takes time in proportion to its words; further
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -26,7 +29,7 @@ from sluice.llm._shared import WORD_CLASS, bound_batches
 #: The phrases that always label a text.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Openings and notices of public licences, as (label, text).
+#: Public licences and their notices, as (label, text).
 TEMPLATES = [
     ("mit", "Released under the MIT License."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
@@ -41,6 +44,19 @@ TEMPLATES = [
     ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("all-rights-reserved", "All rights reserved."),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."),
+    ("boost", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor."),
+    ("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("wtfpl", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed. DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION 0. You just DO WHAT THE FUCK YOU WANT TO."),
 ]
 #: Words of a match, words that a chain may skip, share of a template that a chain has to cover.
 LEAST, GAP, COVER = 3, 8, 0.75
@@ -154,21 +170,31 @@ class Scanner:
         """(label, first word, last word, share of the template covered) of the best chain's end in each place."""
         out = []
         for number, matches in sorted(self.matches(ids).items()):
-            chains: list[list[int]] = []  # text first, text end, template end, covered
+            chains: list[list[int]] = []  # text first, text end, template end, covered; by text end
             for first, place, n in sorted(matches):
                 best = None
+                # those that end within GAP words before the match or later: as many as fit into a template
                 for chain in reversed(chains):
                     if first - chain[1] > GAP:
                         break
                     skip = max(0, chain[1] - first, chain[2] - place)  # words that both have count once
                     if place >= chain[2] - n and skip < n and place + skip - chain[2] <= GAP and (best is None or chain[3] - skip > best[3] - best[4]):
                         best = [*chain, skip]
-                chains.append([best[0], first + n, place + n, best[3] + n - best[4]] if best else [first, first + n, place + n, n])
-                chains.sort(key=lambda c: c[1])
+                bisect.insort(chains, [best[0], first + n, place + n, best[3] + n - best[4]] if best else [first, first + n, place + n, n], key=lambda c: c[1])
             for first, end, _, covered in chains:
                 if covered >= COVER * self.sizes[number]:
-                    out.append((self.labels[number], first, end - 1, min(1.0, covered / self.sizes[number])))
-        return out
+                    out.append((self.labels[number], first, end - 1, min(1.0, covered / self.sizes[number]), covered))
+        return self._strongest(out)
+
+    @staticmethod
+    def _strongest(spans: list[tuple[str, int, int, float, int]]) -> list[tuple[str, int, int, float]]:
+        """Without spans of which more than half lies in a neighbour that matches more words: templates share sentences."""
+        kept: list[tuple[int, int, str, float]] = []  # in text order
+        for label, first, last, share, _ in sorted(spans, key=lambda s: (-s[4], -s[3], s[1], s[0])):
+            at = bisect.bisect_left(kept, (first,))
+            if all(2 * (min(last, b) - max(first, a) + 1) <= last - first + 1 for a, b, _, _ in kept[max(0, at - 2) : at + 2]):
+                kept.insert(at, (first, last, label, share))
+        return [(label, first, last, share) for first, last, label, share in kept]
 
     def scan(self, text: bytes) -> tuple:
         words = words_of(text)
