@@ -5,11 +5,13 @@ corpus frequency of the feature). A word's features are itself and its first fou
 so that unseen forms of known stems score too; the feature whose likelihood ratio is the most significant
 counts, and each repetition in a text halves a positive score. A drift makes an average clean word score below zero, and one linear scan finds every maximal segment of
 positive score. The scale of random segments comes from the Karlin-Altschul equation over clean words;
-the best segment's normalised score, less the logarithm of the text's length, follows an extreme-value
-law in clean texts, against which a logistic curve is fitted on a bounded sample of training texts with
+the segments' normalised scores, added up as exponentials, less the logarithm of the text's length, follow
+an extreme-value law in clean texts, against which a logistic curve is fitted on a bounded sample of training texts with
 log-odds that were learned from the others; the log-odds that score are learned from all.
 
-Defined cases: a null text is an empty text; a text without words gets the score of no evidence; with no
+Defined cases: a null text is an empty text; repeated rows teach once each and calibrate once together;
+features whose ratios are equal rank by the order in which a word gives them; a very long text is scanned
+whole, in time linear in its words; a text without words gets the score of no evidence; with no
 training rows, or rows of one class, every score is that class's share (0 without rows); a label that
 is null teaches nothing; of several labels of a document each counts; further columns are ignored.
 """
@@ -27,13 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm._shared import bound_batches, materialise
-
+from sluice.llm._shared import bound_batches, materialise, scratch
 from sluice.llm.license_scan import words_of
 
-#: Weight of the prior, least texts of a feature, least likelihood ratio (twice the logarithm), most features kept.
-PRIOR, LEAST_TEXTS, LEAST_RATIO, FEATURES = 10.0, 3, 15.0, 200_000
-#: Score taken from each word; largest score of a word; most texts that calibrate.
+#: Weight of the prior, least texts of a feature, least likelihood ratio (twice the logarithm).
+PRIOR, LEAST_TEXTS, LEAST_RATIO = 10.0, 3, 15.0
+#: Score taken from each word; largest score of a word; distinct labelled texts that calibrate, about.
 DRIFT, CLIP, CALIBRATION = 0.5, 9.0, 20_000
 #: Lengths of the stems in bytes.
 STEMS = (4, 5, 6, 7, 8)
@@ -105,9 +106,14 @@ class Model:
         return len(words), maximal_segments(weights)
 
     def evidence(self, n_words: int, segments: list[tuple[int, int, float]]) -> float:
-        """The best segment in units of the scale, corrected for length; 0 words give no evidence."""
-        best = max((s for _, _, s in segments), default=0.0)
-        return self.scale * best - math.log(max(n_words, 1))
+        """All segments together in units of the scale, corrected for length; 0 words give no evidence.
+
+        Each adds the exponential of its score, the inverse of what chance expects of such a segment, so one strong
+        passage counts like many weaker ones.
+        """
+        scores = [self.scale * s for _, _, s in segments]
+        most = max(scores, default=0.0)
+        return most + math.log(sum(math.exp(s - most) for s in scores) or 1.0) - math.log(max(n_words, 1))
 
     def p_value(self, evidence: float) -> float:
         """The chance that a clean text has so strong a segment."""
@@ -144,7 +150,11 @@ def _feature_counts(train: DataFrame) -> DataFrame:
 
 
 def _log_odds(counts: DataFrame, n_clean: int, n_toxic: int) -> dict[bytes, tuple[float, float]]:
-    """Significant features only, of counts(feature, clean, toxic); compared on the executors."""
+    """All significant features, of counts(feature, clean, toxic); compared on the executors.
+
+    Only these reach the driver: words that tell the classes apart, a vocabulary that no longer grows once the
+    labels are many. No feature is cut off, so none depends on what others there are.
+    """
     prior = F.lit(PRIOR) * (F.col("clean") + F.col("toxic")) / float(n_clean + n_toxic)
     odds = {}
     for name, n in (("toxic", n_toxic), ("clean", n_clean)):
@@ -157,7 +167,7 @@ def _log_odds(counts: DataFrame, n_clean: int, n_toxic: int) -> dict[bytes, tupl
         usual = texts * (n / (n_clean + n_toxic))
         ratio = ratio + 2 * F.when(F.col(name) > 0, F.col(name) * F.log(F.col(name) / usual)).otherwise(0.0)
     kept = counts.where(texts >= LEAST_TEXTS).select("feature", delta.alias("delta"), ratio.alias("ratio")).where(F.col("ratio") >= LEAST_RATIO)
-    return {bytes(r["feature"]): (r["delta"], r["ratio"]) for r in kept.orderBy(F.desc("ratio"), "feature").limit(FEATURES).collect()}
+    return {bytes(r["feature"]): (r["delta"], r["ratio"]) for r in kept.collect()}
 
 
 def _word_scores(models_cast):
@@ -222,11 +232,12 @@ def _evidence(model_cast):
 def fit(train: DataFrame) -> Model:
     """Learn from train(text binary, toxic 0/1).
 
-    The log-odds use every row. The curve uses about CALIBRATION texts at most, and of few rows a quarter, picked by
-    a hash: their evidence comes from log-odds that were learned without them.
+    The log-odds use every row. The curve uses about CALIBRATION distinct texts, and of few a quarter, picked by a
+    hash: their evidence comes from log-odds that were learned without them. Copies count once there, so that
+    a frequent text can't fill the sample.
     """
     spark = train.sparkSession
-    n = train.count()
+    n = train.select(F.xxhash64("text").alias("h")).distinct().count()
     share = min(0.25, CALIBRATION / max(n, 1))
     train = train.withColumn("part", (F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int((1 << 20) * share)).cast("int"))
     parts = {(r["toxic"], r["part"]): r["count"] for r in train.groupBy("toxic", "part").count().collect()}
@@ -238,7 +249,8 @@ def fit(train: DataFrame) -> Model:
     others = [parts.get((k, 0), 0) for k in (0, 1)]
     apart = Model(_log_odds(counts.select("feature", F.col("clean0").alias("clean"), F.col("toxic0").alias("toxic")), *others) if all(others) else model.weights)
     _set_scales([model, apart], train.where("toxic = 0"))
-    rows = train.where("part = 1").select("text", "toxic").mapInArrow(_evidence(spark.sparkContext.broadcast(apart)), "x double, y int").limit(2 * CALIBRATION).collect()
+    once = train.where("part = 1").groupBy(F.xxhash64("text").alias("h"), "toxic").agg(F.first("text").alias("text"))
+    rows = once.select("text", "toxic").mapInArrow(_evidence(spark.sparkContext.broadcast(apart)), "x double, y int").collect()
     x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], float)
     if not len(x) or y.min() == y.max():
         x, y = np.append(x, [0.0, 10.0]), np.append(y, [0.0, 1.0])
@@ -265,7 +277,7 @@ def passages(text: Column, model: Model, most_p: float = 0.01):
 
 
 def text_model(model: Model):
-    """The model as a broadcast value; its size is bounded by FEATURES."""
+    """The model as a broadcast value: the significant words and stems."""
     from pyspark.sql import SparkSession
 
     return SparkSession.getActiveSession().sparkContext.broadcast(model)
