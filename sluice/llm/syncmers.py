@@ -4,7 +4,8 @@ A text's words are hashed; a k-mer of K words is an anchor if the smallest of it
 at one of its edges. Whether it does depends on the k-mer alone, so equal passages have equal anchors
 wherever they stand. A text with fewer than K words has one anchor, its whole word sequence; one without
 any word has its whole text. The fingerprint holds the SIZE smallest distinct anchor hashes, a bottom-k
-sketch whose overlap estimates the Jaccard similarity of the anchor sets.
+sketch whose overlap estimates the Jaccard similarity of the anchor sets. Beside each hash stands the word
+where its anchor first stands, so that the anchors two texts share also say how the texts lie on each other.
 
 Defined cases: a null text is an empty text, whose fingerprint is empty; two empty fingerprints are alike
 (1), an empty and another one are not (0); rows without a doc_id come last in descending order; rows equal
@@ -25,8 +26,8 @@ _DELIMITERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _NO_ID = -(1 << 63)
 
 
-def with_anchors(df: DataFrame, text: str, to: str, positions: bool = False) -> DataFrame:
-    """Add array column `to`: the hashes of the closed syncmers of column `text`, or (pos, hash) of each.
+def with_anchors(df: DataFrame, text: str, to: str) -> DataFrame:
+    """Add array column `to`: (hash, pos) of each closed syncmer of column `text`, pos in words.
 
     Each step is a column of its own, so that no array is computed twice.
     """
@@ -50,30 +51,49 @@ def with_anchors(df: DataFrame, text: str, to: str, positions: bool = False) ->
     df = df.withColumn(t["i"], closed)
     # a k-mer's hash: that of the substrings that cover it
     cover = head(s, spans - 1)
-    for i in [*range(S, spans, S), spans - 1]:
+    for i in sorted({*range(S, spans, S), spans - 1}):
         cover = F.zip_with(cover, F.slice(s, F.lit(1 + i), F.greatest(F.size(s) - (spans - 1), F.lit(0))), lambda a, b: F.xxhash64(a, b))
     chosen = F.zip_with(F.col(t["i"]), cover, lambda ok, x: F.when(ok, x))
-    if positions:
-        found = F.filter(F.transform(chosen, lambda x, i: F.struct(i.alias("pos"), x.alias("hash"))), lambda x: x["hash"].isNotNull())
-        short = lambda x: F.array(F.struct(F.lit(0).alias("pos"), x.alias("hash")))
-    else:
-        found, short = F.array_compact(chosen), F.array
+    found = F.filter(F.transform(chosen, lambda x, i: F.struct(x.alias("hash"), i.alias("pos"))), lambda x: x["hash"].isNotNull())
+    short = lambda x: F.array(F.struct(x.alias("hash"), F.lit(0).alias("pos")))
     whole = F.when(n > 0, F.xxhash64(h)).otherwise(F.xxhash64(F.col(text)))
     anchors = F.when(n >= K, found).when(F.length(F.col(text)) > 0, short(whole)).otherwise(F.slice(short(whole), 1, 0))
     return df.withColumn(to, anchors).drop(*t.values())
 
 
-def sketch(anchors: Column) -> Column:
-    """The SIZE smallest distinct 32-bit hashes."""
-    return F.slice(F.array_sort(F.array_distinct(F.transform(anchors, lambda x: F.shiftright(x, 32).cast("int")))), 1, SIZE)
+def with_sketch(df: DataFrame, anchors: str, to: str) -> DataFrame:
+    """Add column `to`: the SIZE smallest distinct 32-bit hashes of column `anchors`, each with its first place."""
+    slim = f"_{to}_sorted"
+    df = df.withColumn(slim, F.array_sort(F.transform(anchors, lambda x: F.struct(F.shiftright(x["hash"], 32).cast("int").alias("hash"), x["pos"].alias("pos")))))
+    first = F.filter(slim, lambda x, i: (i == 0) | (F.get(F.col(slim), i - 1)["hash"] != x["hash"]))
+    return df.withColumn(to, F.slice(first, 1, SIZE)).drop(slim)
+
+
+def hashes(sketch: Column) -> Column:
+    return F.transform(sketch, lambda x: x["hash"])
 
 
 def as_text(sketch: Column) -> Column:
-    return F.array_join(F.transform(sketch, lambda x: F.lpad(F.lower(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))), 8, "0")), "")
+    return F.array_join(F.transform(sketch, lambda x: F.lpad(F.lower(F.hex(x["hash"].bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))), 8, "0")), "")
+
+
+def with_alignment(df: DataFrame, a: str, b: str, shift: str, share: str) -> DataFrame:
+    """Positional matching of two sketches: how many words b's anchors stand after a's, and how many agree on it.
+
+    `shift` is the median over the anchors that both hold (null without any), `share` the part of a's anchors
+    that match at just that shift.
+    """
+    where = F.map_from_arrays(hashes(F.col(b)), F.transform(b, lambda x: x["pos"]))
+    df = df.withColumn("_there", where)
+    apart = F.array_sort(F.array_compact(F.transform(a, lambda x: F.try_element_at("_there", x["hash"]) - x["pos"])))
+    df = df.withColumn("_apart", apart)
+    df = df.withColumn(shift, F.get(F.col("_apart"), F.floor((F.size("_apart") - 1) / 2).cast("int")))
+    agree = F.size(F.filter("_apart", lambda x: x == F.col(shift)))
+    return df.withColumn(share, F.when(F.col(shift).isNull(), F.lit(0.0)).otherwise(agree / F.size(a))).drop("_there", "_apart")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of the SIZE smallest hashes of both that each of them holds, 0 to 1."""
+    """The share of the SIZE smallest of both arrays of hashes that each of them holds, 0 to 1."""
     both = F.slice(F.array_sort(F.array_union(a, b)), 1, SIZE)
     return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(F.array_intersect(both, a), b)) / F.size(both))
 
@@ -92,7 +112,7 @@ def _with_next(slim: DataFrame) -> DataFrame:
 
 
 def edited_fingerprints(documents: DataFrame) -> DataFrame:
-    """Fingerprints of every text, of its edited text and their likenesses, for documents(doc_id, text).
+    """Fingerprints of every text, of its edited text, their likenesses and alignment, for documents(doc_id, text).
 
     The edited text ends, instead of with its last third, with as much of the next document in descending
     doc_id order. Texts are shuffled once, by their key; a second use of that exchange brings the third
@@ -113,16 +133,18 @@ def edited_fingerprints(documents: DataFrame) -> DataFrame:
     both = both.withColumn("edited", F.concat(F.col("own").substr(F.lit(1), (F.col("n") - F.col("third")).cast("int")), F.col("prefix")))
     both = both.select("d", "h", "n", "copies", "nd", "nh", "own", "edited")
     for text, to in (("own", "a"), ("edited", "b")):
-        both = with_anchors(both, text, to)
-    made = materialise(both.select("d", "h", "n", "copies", "nd", "nh", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("a")).alias("a"), sketch(F.col("b")).alias("b")), "fingerprints")
-    other = made.select(F.col("d").alias("nd"), F.col("h").alias("nh"), F.col("a").alias("c"))
-    found = made.join(other, ["nd", "nh"]).withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+        both = with_sketch(with_anchors(both, text, f"{to}_anchors"), f"{to}_anchors", to).drop(f"{to}_anchors")
+    made = materialise(both.select("d", "h", "n", "copies", "nd", "nh", F.sha2("edited", 256).alias("edited_sha256"), "a", "b"), "fingerprints")
+    other = made.select(F.col("d").alias("nd"), F.col("h").alias("nh"), hashes(F.col("a")).alias("c"))
+    found = with_alignment(made, "a", "b", "shift_edited", "aligned_edited").join(other, ["nd", "nh"]).withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
     return found.select(
         F.when(F.col("d") != _NO_ID, F.col("d")).alias("doc_id"),
         F.col("n").alias("n_chars"),
         "edited_sha256",
         as_text(F.col("a")).alias("fingerprint"),
         as_text(F.col("b")).alias("edited_fingerprint"),
-        likeness(F.col("a"), F.col("b")).alias("near_edited"),
-        likeness(F.col("a"), F.col("c")).alias("near_next"),
+        likeness(hashes(F.col("a")), hashes(F.col("b"))).alias("near_edited"),
+        likeness(hashes(F.col("a")), F.col("c")).alias("near_next"),
+        "shift_edited",
+        "aligned_edited",
     )
