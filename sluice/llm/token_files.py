@@ -170,7 +170,7 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer: str, end_id:
     text = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     slim = materialise(text.select("doc_id", (F.octet_length("text") + 1).cast("long").alias("weight")), "token-slim")
     bounds = shard_bounds(slim, "doc_id", "weight", shard_chars, "token-order")
-    ordered = text.withColumn("shard", shard_of(F.col("doc_id"), bounds)).repartition("shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_last(), "text").select("shard", "doc_id", "text")
+    ordered = text.withColumn("shard", shard_of(F.col("doc_id"), bounds)).repartitionById(max(1, len(bounds)), F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_last(), "text").select("shard", "doc_id", "text")
     shards = sorted((r.asDict() for r in ordered.mapInArrow(_writer(folder, tokenizer, end_id, dtype, sequence, rows_per_batch), _MANIFEST).collect()), key=lambda r: r["shard"])
     before = 0
     for s in shards:
@@ -180,7 +180,10 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer: str, end_id:
 
 
 class TokenShard:
-    """A shard open for reading; a local file is mapped into memory and its sequences are views."""
+    """A shard open for reading; a local file is mapped into memory and its sequences are views.
+
+    Of a file elsewhere the batches are read once `sequence` is first asked for, unless it was iterated before.
+    """
 
     def __init__(self, path: str):
         fs, place = file_system(path)
@@ -196,6 +199,8 @@ class TokenShard:
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of sequence i and the bytes that hold its mask's bits (lowest first), without copying."""
+        if self.batches is None:  # not mapped: read as far as the sequences go
+            self.batches = list(self._stream)
         rows = self.batches[0].num_rows
         batch = self.batches[i // rows]
         length = batch.column(0).type.list_size

@@ -6,8 +6,9 @@ as gzip members, rolls a file once its compressed size passes `roll_bytes`, and
 renaming it; the driver writes the manifest last, and only files of a manifest are ever read.
 
 Defined cases: a null html is an empty payload, a null url an empty target; rows without a page_id come
-last and are archived like others; of repeated rows the first is the response; an empty table gives a
-manifest without files; further columns of the input are ignored.
+last and are archived like others; of repeated rows the first is the response; a very long payload is one
+record, compressed in one piece; an empty table gives a manifest without files; further columns of the
+input are ignored.
 """
 
 from __future__ import annotations
@@ -133,7 +134,7 @@ def write_archives(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES
     )
     ordered = (
         both.withColumn("shard", shard_of(F.col("page_id"), bounds))
-        .repartition("shard")
+        .repartitionById(max(1, len(bounds)), F.col("shard"))
         .sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "digest", "kind", "url")
         .select("shard", "page_id", "digest", "kind", "url", "payload", "target")
     )
