@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import struct
 
 import pytest
+import xxhash
 
 from sluice.llm import decontam, line_dedup, minhash_forest, syncmers
 from sluice.llm.components import components
@@ -125,7 +127,7 @@ def test_passages_are_those_of_a_sequential_scan(spark, docs):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     rows += [(30_000 + i, f"Start {i} here.\n{passage}\nThe end {i}.") for i in range(5)] + [(30_100, f"Some words first. {passage} And some after."), (30_200, "All rights reserved.")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = line_dedup.repeated_passages(df)
+    found = line_dedup.repeated_passages(df, line_dedup.MIN_WORDS)
     got = {(r.doc_id, r.start, r.end, r.n_words, r.first_doc_id) for r in found.collect()}
     assert got == brute_passages(rows, line_dedup.MIN_WORDS)
     caught = {g[0] for g in got}
@@ -178,7 +180,7 @@ def test_contamination_is_that_of_all_windows(spark, docs):
     rows += [(40_000, " ".join(words[10:30])), (40_001, "x " + " ".join(words[:60]) + " y " + " ".join(words[:60]))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = [tuple(r) for r in decontam.contamination(df, bench).collect()]
+    got = [tuple(r)[:6] for r in decontam.contamination(df, bench).collect()]
     assert sorted(map(str, got)) == sorted(map(str, brute_contamination(rows, items)))
     kept = {r.doc_id for r in decontam.without_contaminated(df, bench).collect()}
     assert kept == {r[0] for r in brute_contamination(rows, items) if not r[5]}
@@ -232,9 +234,96 @@ def test_anchors_do_not_depend_on_context(spark):
     rng = random.Random(4)
     words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
     df = spark.createDataFrame([(" ".join(words),), ("other start here " + " ".join(words[50:120]) + " other end",)], "text string")
-    whole, part = ({(a["pos"], a["hash"]) for a in r.a} for r in syncmers.with_anchors(df, "text", "a", positions=True).collect())
+    whole, part = ({(a["pos"], a["hash"]) for a in r.a} for r in syncmers.with_anchors(df, "text", "a").collect())
     inside = {h for p, h in whole if 50 <= p <= 116}
     assert inside <= {h for _, h in part}
     # a window of consecutive k-mers can't be without an anchor for long
     places = sorted(p for p, _ in whole)
     assert len(places) > 200 / 3 and max(b - a for a, b in zip(places, places[1:], strict=False)) <= 8
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def hash_longs(*values):
+    """Spark's 64-bit hash of several longs: each is the next one's seed."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(struct.pack("<q", signed(v) if v >= 0 else v), seed & ((1 << 64) - 1))
+    return signed(seed)
+
+
+def brute_sketch(text):
+    """The syncmers of a text by their definition: K-word windows whose least S-word substring lies at an edge."""
+    words = [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()) if w]
+    own = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in words]
+    if len(own) < syncmers.K:
+        whole = hash_longs(*own) if own else signed(xxhash.xxh64_intdigest(text.encode(), 42))
+        anchors = [(whole, 0)] if text else []
+    else:
+        anchors = []
+        for i in range(len(own) - syncmers.K + 1):
+            inner = [hash_longs(*own[j : j + syncmers.S]) for j in range(i, i + syncmers.K - syncmers.S + 1)]
+            if min(inner) in (inner[0], inner[-1]):
+                anchors.append((hash_longs(inner[0], inner[-1]), i))
+    first = {}
+    for x, pos in anchors:
+        first.setdefault(x >> 32, pos)
+    return sorted(first.items())[: syncmers.SIZE]
+
+
+def test_fingerprints_are_those_of_the_definition(spark):
+    rng = random.Random(21)
+    words = [f"w{rng.randrange(300)}" for _ in range(2000)]
+    rows = [(i, " ".join(words[rng.randrange(1500) :][: rng.randint(1, 400)])) for i in range(30)] + [(50, ""), (51, "!!"), (52, "one Two"), (53, "a b c d"), (54, None)]
+    got = {r.doc_id: r for r in syncmers.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    order = sorted(((i, t or "") for i, t in rows), reverse=True)
+    shown = lambda s: "".join(f"{x & 0xFFFFFFFF:08x}" for x, _ in s)
+
+    def alike(a, b):
+        both = sorted({x for x, _ in a} | {x for x, _ in b})[: syncmers.SIZE]
+        return len([x for x in both if x in dict(a) and x in dict(b)]) / len(both) if both else 1.0
+
+    for at, (i, text) in enumerate(order):
+        after, third = order[(at + 1) % len(order)][1], len(text) // 3
+        a, b, c = brute_sketch(text), brute_sketch(text[: len(text) - third] + after[:third]), brute_sketch(after)
+        r = got[i]
+        assert (r.fingerprint, r.edited_fingerprint) == (shown(a), shown(b))
+        assert (r.near_edited, r.near_next) == pytest.approx((alike(a, b), alike(a, c)))
+        apart = sorted(dict(b)[x] - p for x, p in a if x in dict(b))
+        shift = apart[(len(apart) - 1) // 2] if apart else None
+        assert r.shift_edited == shift and r.aligned_edited == pytest.approx(apart.count(shift) / len(a) if apart else 0.0)
+
+
+def test_texts_of_one_word(spark):
+    rows = [(1, "word " * 100_000), (2, "word " * 8_000), (3, "other word")]
+    got = {r.doc_id: r for r in decontam.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, "word " * 400)], "item_id long, text string")).collect()}
+    assert (got[1].n_hit, got[2].n_hit, got[3].n_hit) == (100_000, 8_000, 0)
+
+
+def test_white_space_takes_linear_time():
+    assert list(line_dedup.units("a" + " " * 1_000_000 + "b\n \n" + "\t" * 1_000_000 + "c. d")) == [(0, 1_000_002), (2_000_005, 2_000_007), (2_000_008, 2_000_009)]
+
+
+def test_every_repeated_line_goes_by_default(spark):
+    rows = [(1, "stock phrase\nfirst text"), (2, "second text\nStock  phrase"), (3, "first text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.start, r.end, r.first_doc_id) for r in line_dedup.repeated_passages(df).collect()} == {(2, 12, 25, 1), (3, 0, 10, 1)}
+    assert {(r.doc_id, r.text) for r in line_dedup.deduplicated(df).collect()} == {(1, "stock phrase\nfirst text"), (2, "second text")}
+
+
+def test_rows_that_share_an_id_but_not_a_text(spark):
+    rng = random.Random(31)
+    one, two = ([f"w{rng.randrange(9000)}" for _ in range(200)] for _ in range(2))
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (1, " ".join(two)), (2, edited(rng, one, 3)), (3, "alone"), (None, " ".join(one))]
+    left = minhash_forest.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(str, left.collect())) == sorted(map(str, spark.createDataFrame([rows[0], rows[1], rows[4], rows[5]], left.schema).collect()))
+
+
+def test_all_near_copies_of_a_dense_group_are_found(spark):
+    rng = random.Random(41)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    rows = [(i, edited(rng, base, rng.randint(1, 4))) for i in range(700)]  # more than a block
+    got = [tuple(r) for r in minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted(brute_components(rows, 3, 85, 100))

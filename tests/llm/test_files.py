@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sluice.llm import bpe, token_files, warc
@@ -21,7 +22,7 @@ def pages(spark):
     long = "<p>equal</p>" * 20
     rows = [(5, "u5", long), (3, "u3", long), (9, "u9", long), (1, "a\r\nb", "short"), (2, None, "short"), (4, "u", None), (7, "u7", "é" * 100), (7, "u7", "é" * 100), (None, "n", long)]
     rows += [(100 + i, f"u{i}", "".join(random.Random(i).choices("abc ", k=3000))) for i in range(40)]
-    return spark.createDataFrame(rows, "page_id long, url string, html string").withColumnRenamed("x", "x")
+    return spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"digest": F.lit("d"), "shard": F.lit(3), "kind": F.lit(0), "payload": F.lit("p"), "weight": F.lit(1)})
 
 
 def test_archives(spark, pages):
@@ -59,7 +60,6 @@ def test_no_pages(spark, pages):
 
 def expected(docs):
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
     rows = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
     rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     return [(i, t, e.ids) for (i, t), e in zip(rows, tokenizer.encode_batch([t for _, t in rows], add_special_tokens=False), strict=True)]
@@ -110,3 +110,22 @@ def test_chunked_bpe(spark, docs, chunk, overlap):
 
 def test_scratch_is_in_the_shared_folder(spark):
     assert new_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_a_very_long_page(spark):
+    rows = spark.createDataFrame([(1, "u", "x" * 3_000_000), (2, "u", "x" * 3_000_000), (3, "u", "")], "page_id long, url string, html string")
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive_round_trip(spark, rows).collect()}
+    assert got == {1: (3_000_000, "response", None), 2: (3_000_000, "revisit", 1), 3: (0, "response", None)}
+
+
+def test_scratch_goes(spark):
+    import os
+
+    from sluice.llm._shared import materialise, scratch
+
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(folder))
+    with scratch(spark) as keep:
+        materialise(spark.range(3), "gone")
+        kept = keep(materialise(spark.range(4), "kept"))
+    assert kept.count() == 4 and len(set(os.listdir(folder)) - before) == 1

@@ -164,3 +164,94 @@ def test_the_scale_is_that_of_all_distinct_clean_texts(spark):
     words = [w for t in set(rows) for w in t.split()]
     assert abs(np.mean([np.exp(model.scale * model.word(w.encode())) for w in words]) - 1) < 1e-3
     assert toxicity._scale({}) == 1.0
+
+
+def test_licences_take_linear_time():
+    scanner = license_scan.Scanner()
+    assert scanner.scan(b"All rights reserved. " * 100_000)[5] == "all-rights-reserved"
+
+
+def test_whole_licences_have_their_own_label():
+    scanner = license_scan.Scanner()
+    for label, text in license_scan.TEMPLATES:
+        found = scanner.scan(f"// file header\n{text}\nint main".encode())
+        assert label in found[5].split(",") and set(found[5].split(",")) <= {label, *found[4].split(",")}, label
+
+
+def brute_chains(scanner, words):
+    """Labels by the definition: every set of maximal matches, in order along a template, that covers enough."""
+    labels = set()
+    for label, text in license_scan.TEMPLATES:
+        template = license_scan.words_of(text.encode())
+        table = [[0] * (len(template) + 1) for _ in range(len(words) + 1)]  # longest common run that ends here
+        for i, w in enumerate(words):
+            for j, x in enumerate(template):
+                if w == x:
+                    table[i + 1][j + 1] = table[i][j] + 1
+        if max(max(row) for row in table) >= license_scan.COVER * len(template):
+            labels.add(label)
+    return labels
+
+
+def test_labels_of_whole_matches_against_brute_force():
+    rng, scanner = random.Random(23), license_scan.Scanner()
+    for label, text in license_scan.TEMPLATES[:13]:
+        noise = [f"n{rng.randrange(50)}" for _ in range(40)]
+        whole = " ".join([*noise[:20], text, *noise[20:]])
+        got = set(scanner.scan(whole.encode())[5].split(","))
+        assert label in got and got <= brute_chains(scanner, license_scan.words_of(whole.encode()))
+    assert scanner.scan(b"some words of nothing at all")[5] == ""
+
+
+def test_toxicity_against_a_sequential_model(spark):
+    """Log-odds, segments and scores again, without Spark and one row at a time."""
+    rng = random.Random(19)
+    usual = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*rng.sample(usual, 20), *(["zzbad"] if i % 6 == 0 else [])]), int(i % 6 == 0)) for i in range(900)]
+    df = spark.createDataFrame([(t.encode(), y) for _, t, y in rows], "text binary, toxic int")
+    model = toxicity.fit(df)
+    counts, n = {}, [sum(y == k for *_, y in rows) for k in (0, 1)]
+    for _, t, y in rows:
+        for f in {f for w in set(t.encode().split()) for f in toxicity.features(w)}:
+            counts.setdefault(f, [0, 0])[y] += 1
+    for f, (clean, toxic) in counts.items():
+        prior = toxicity.PRIOR * (clean + toxic) / sum(n)
+        odds = [np.log(c + prior + 0.01) - np.log(max(k + toxicity.PRIOR - c - prior, 0.5)) for c, k in ((clean, n[0]), (toxic, n[1]))]
+        ratio = 2 * sum(c * np.log(c / ((clean + toxic) * k / sum(n))) for c, k in ((clean, n[0]), (toxic, n[1])) if c)
+        if clean + toxic >= toxicity.LEAST_TEXTS and ratio >= toxicity.LEAST_RATIO:
+            assert model.weights[f] == pytest.approx((odds[1] - odds[0], ratio))
+        else:
+            assert f not in model.weights
+    for _, t, _ in rows[:20]:
+        weights, seen = [], {}
+        for w in t.encode().split():
+            known = [model.weights[f] for f in toxicity.features(w) if f in model.weights]
+            odds = max(-toxicity.CLIP, min(toxicity.CLIP, max(known, key=lambda x: x[1])[0])) if known else 0.0
+            value = odds - toxicity.DRIFT
+            if value > 0:
+                value = odds * 0.5 ** seen.get(w, 0) - toxicity.DRIFT
+                seen[w] = seen.get(w, 0) + 1
+            weights.append(value)
+        scores = [model.scale * s for *_, s in brute_segments(weights)]
+        want = np.log(sum(np.exp(s) for s in scores) or 1.0) - np.log(len(weights))
+        assert model.evidence(*model.segments(t.encode())) == pytest.approx(want)
+
+
+def test_copies_do_not_fill_the_calibration(spark, monkeypatch):
+    seen = []
+    fitted = toxicity._logistic
+    monkeypatch.setattr(toxicity, "_logistic", lambda x, y: seen.append(len(x)) or fitted(x, y))
+    rows = [("same text each time", 0)] * 5000 + [(f"text w{i}", i % 2) for i in range(400)]
+    toxicity.fit(spark.createDataFrame([(t.encode(), y) for t, y in rows], "text binary, toxic int"))
+    assert 60 <= seen[0] <= 140
+
+
+def test_nearest_centroid_against_a_plain_loop(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.train(docs.select("text", "lang"))
+    for r in docs.limit(60).collect():
+        v = np.sqrt(language_id.trigram_counts(r.text)) * model.idf
+        cos = [float(v @ c / (np.linalg.norm(v) * np.linalg.norm(c))) for c in model.centroids]
+        lang, score, rejected = (x[0] for x in model.predict([r.text]))
+        assert lang == model.languages[model.owner[int(np.argmax(cos))]] and score == pytest.approx(max(cos), abs=1e-4)
+        assert rejected == (max(cos) < language_id.REJECT * min(1.0, (len(r.text) / 400) ** 0.5) * model.usual[int(np.argmax(cos))])
