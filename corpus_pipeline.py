@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import bpe, decontam, language_id, line_dedup, minhash_forest
-from sluice.llm._shared import materialise
+from sluice.llm._shared import materialise, scratch
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that an earlier document holds; n_chars follows the text."""
-    return line_dedup.deduplicated(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Texts without the passages of MIN_WORDS words or more that an earlier document holds; n_chars follows the text."""
+    return line_dedup.deduplicated(docs, line_dedup.MIN_WORDS).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of `sf_dir`."""
+    """All stages over the documents of `sf_dir`; their scratch tables go, the last stage's stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    with scratch(spark) as keep_last:
+        for name, stage in STAGES:
+            with scratch(spark) as keep:
+                docs = keep(materialise(stage(spark, docs, sf_dir), name.replace(" ", "-")))
+        keep_last(docs)
     return docs
