@@ -61,11 +61,21 @@ def cosine(a: Column, b: Column, eps: float = 1e-8) -> Column:
     return dot(a, b) / (F.greatest(norm(a), F.lit(eps)) * F.greatest(norm(b), F.lit(eps)))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with `value` evaluated once, also where `use` has it inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def unit(values: Column, eps: float = 1e-12) -> Column:
+    """A vector over its norm, which is at least eps."""
+    return bound(F.greatest(norm(values), F.lit(eps)), lambda n: F.transform(values, lambda x: x.cast("double") / n))
+
+
 def softmax(values: Column, temperature: float = 1.0) -> Column:
-    """Shifted by the maximum; the temperature is at least 1e-6."""
+    """Shifted by the maximum; the temperature is at least 1e-6. Linear in the width."""
     t = max(temperature, 1e-6)
-    raised = F.transform(values, lambda x: F.exp((x.cast("double") - F.array_max(values).cast("double")) / t))
-    return F.transform(raised, lambda x: x / total(raised))
+    raised = bound(F.array_max(values).cast("double"), lambda top: F.transform(values, lambda x: F.exp((x.cast("double") - top) / t)))
+    return bound(raised, lambda r: bound(total(r), lambda s: F.transform(r, lambda x: x / s)))
 
 
 def is_finite(x: Column) -> Column:
@@ -91,20 +101,22 @@ def bucket_of(n: Column, edges: Sequence[int]) -> Column:
     return found
 
 
-def layer_spec(spec: str, layers: int, n: int = 1) -> list[int]:
-    """Layers named by `all`, `every_<k>`, `every_n`, `block_<k>` or a comma-separated list."""
-    if spec == "all":
+def layer_spec(spec: str | None, layers: int, n: int = 1) -> list[int]:
+    """Layers named by `all` or nothing, `every_<k>`, `every_n` or `every_layer_interval`, `block_<k>`, or a list.
+
+    Steps are at least 1. A list, in brackets or with a comma, comes back sorted without repeats.
+    """
+    spec = (spec or "").strip().lower()
+    if spec in ("", "all"):
         return list(range(layers))
     kind, _, rest = spec.partition("_")
-    if kind in ("every", "block") and (rest == "n" or rest.isdigit()):
-        step = n if rest == "n" else int(rest)
-        if step < 1:
-            raise ValueError(f"the step of {spec!r} must be positive")
-        return list(range(0 if kind == "every" else step - 1, layers, step))
-    found = [int(x) for x in spec.split(",") if x.strip()]
-    if any(not 0 <= x < layers for x in found):
-        raise ValueError(f"{spec!r} names a layer outside 0..{layers - 1}")
-    return found
+    named = spec in ("every_n", "every_layer_interval")
+    if named or kind in ("every", "block") and rest.isdecimal():
+        step = max(1, n if named else int(rest))
+        return list(range(step - 1 if kind == "block" else 0, layers, step))
+    if spec.startswith("[") or "," in spec:
+        return sorted({int(x) for x in spec.strip("[]").split(",") if x.strip()})
+    raise ValueError(f"unknown layers: {spec!r}")
 
 
 def shuffle_key(seed: int, *parts: Column) -> Column:
@@ -136,4 +148,53 @@ def learning_rate(step: Column, kind: str, warmup: int, steps: int, least: float
     return F.when(step < warmup, step / float(max(1, warmup))).otherwise(later) if warmup > 0 else later
 
 
-Expression = Callable[[Column], Column]
+def micro_step(place: Column, accumulate: int) -> Column:
+    """The optimizer step that a micro-step belongs to."""
+    return F.floor(place / max(1, accumulate)).cast("long")
+
+
+def halves(values: Column) -> tuple[Column, Column]:
+    """The two halves of an array; the first is the shorter one of an odd length."""
+    n = F.floor(F.size(values) / 2).cast("int")
+    return F.slice(values, F.lit(1), n), F.slice(values, n + 1, F.size(values) - n)
+
+
+def reshaped(values: Column, width: int) -> Column:
+    """A flat array as rows of `width`; null if it doesn't divide."""
+    rows = F.transform(F.sequence(F.lit(0), F.floor(F.size(values) / width).cast("int") - 1), lambda i: F.slice(values, i * width + 1, F.lit(width)))
+    return F.when(F.size(values) == 0, F.array().cast("array<array<double>>")).when(F.size(values) % width == 0, rows)
+
+
+def squeezed(values: Column, kind: str = "float") -> Column:
+    """An array of matrices without its leading dimension if that is one, else null; elements as `kind`."""
+    return F.when(F.size(values) == 1, F.transform(values[0], lambda row: row.cast(f"array<{kind}>")))
+
+
+#: How paths name a layer, first match wins.
+LAYER_PATTERNS = [r"(?i)cache[_\-]?layer[_\-]?(\d+)", r"(?i)layer[s]?[_\-.]?(\d+)", r"(?i)block[_\-.]?(\d+)", r"(?i)decoder[_\-.]?layer[_\-.]?(\d+)", r"^(\d+)$"]
+
+
+def layer_of_path(path: Column) -> Column:
+    """The layer that an array of path elements names: the last element that names one wins."""
+
+    def number(text: Column) -> Column:
+        found = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in LAYER_PATTERNS]
+        return F.coalesce(*found).try_cast("int")
+
+    return F.try_element_at(F.array_compact(F.transform(F.reverse(path), number)), F.lit(1))
+
+
+def smart_size(height: Column, width: Column, factor: int, least: int, most: int) -> Column:
+    """struct(height, width): both rounded to multiples of `factor`, with an area between `least` and `most` pixels.
+
+    The aspect ratio is kept as far as the rounding allows; sides longer than 200 times the other are rejected.
+    """
+    area = (height * width).cast("double")
+    near = lambda x: F.greatest(F.lit(factor), F.rint(x / factor) * factor)
+    shrink, grow = F.sqrt(area / most), F.sqrt(F.lit(float(least)) / area)
+    down = lambda x: F.greatest(F.lit(factor), F.floor(x / shrink / factor) * factor)
+    up = lambda x: F.ceil(x * grow / factor) * factor
+    size = near(height) * near(width)
+    side = lambda x: F.when(size > most, down(x)).when(size < least, up(x)).otherwise(near(x)).cast("int")
+    fits = F.greatest(height, width) <= 200 * F.least(height, width)
+    return F.when(fits, F.struct(side(height).alias("height"), side(width).alias("width")))
