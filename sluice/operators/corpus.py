@@ -73,36 +73,80 @@ def ordered_offsets(df: DataFrame, order: Sequence[Column], weight: Column) -> D
     return ranged.withColumn("_in", inside).join(F.broadcast(skips), "_p").withColumn("before", (F.col("_in") + F.col("_skip")).cast("long")).drop("_p", "_w", "_in", "_skip")
 
 
+def _with_offsets(ranged: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Add `before` to rows that carry their range `_p` and weight `_w`; one row per range and group carries the sums on."""
+    sums = ranged.groupBy("_p", *group).agg(F.sum("_w").alias("_s"))
+    earlier = Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    skips = sums.select("_p", *group, F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_skip"))
+    names = [f"_g{i}" for i in range(len(group))]
+    skips = skips.select(F.col("_p").alias("_q"), *(F.col(g).alias(n) for g, n in zip(group, names, strict=True)), "_skip")
+    inside = F.coalesce(F.sum("_w").over(Window.partitionBy("_p", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    same = F.col("_p") == F.col("_q")
+    for g, n in zip(group, names, strict=True):
+        same = same & F.col(g).eqNullSafe(F.col(n))
+    return ranged.withColumn("_in", inside).join(skips, same).withColumn("before", (F.col("_in") + F.col("_skip")).cast("long")).drop("_in", "_skip", "_q", *names)
+
+
+def group_offsets(df: DataFrame, group: Sequence[str], order: Sequence[str], weight: Column) -> DataFrame:
+    """Add `before`: the exclusive running sum of `weight` within each group, in `order`.
+
+    Rows are dealt out by ranges of (group, order), so that a group of any size spreads over tasks.
+    """
+    ranged = written(df.withColumn("_w", weight).repartitionByRange(*group, *order).withColumn("_p", F.spark_partition_id()))
+    return _with_offsets(ranged, group, order).drop("_p", "_w")
+
+
 def quota_cut(df: DataFrame, group: str, order: str, tokens: str, quota: int) -> DataFrame:
     """Rows of each group up to the one that reaches the quota; it may overshoot."""
-    before = F.sum(tokens).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < quota).drop("_before")
+    return group_offsets(df, [group], [order], F.col(tokens)).where(F.col("before") < quota).drop("before")
+
+
+def running_buckets(df: DataFrame, group: str, order: str, tokens: str, edges: Sequence[int]) -> DataFrame:
+    """Add `bucket` and `bucket_before`: what a group's earlier rows have put into the row's bucket."""
+    rows = df.withColumn("bucket", bucket_of(F.col(tokens), edges)).where("bucket is not null")
+    return group_offsets(rows, [group, "bucket"], [order], F.col(tokens)).withColumnRenamed("before", "bucket_before")
+
+
+def provisional_ids(df: DataFrame, group: str, order: str) -> DataFrame:
+    """Add `id`: `<group>_<place>`, the place counted from 0 within the group."""
+    return group_offsets(df, [group], [order], F.lit(1)).withColumn("id", F.concat_ws("_", F.col(group), F.col("before"))).drop("before")
 
 
 def harvest(df: DataFrame, sources: Sequence[tuple[str, int]], order: str, tokens: str, key: str, usable: Column | None = None) -> DataFrame:
     """Rows that a sequential build would accept, source after source, as (source order, columns).
 
-    A key blocks later rows only if its row was reached before its source's quota was met, so sources are
-    taken in order: drop the keys seen so far, keep each key's first row, cut at the quota, remember the
-    keys. The running sum of a source is taken over ranges, not in one task. Rows that are not `usable`
-    (a broken image) block their key but add neither a row nor tokens. The plan grows with the number of
-    sources, which is that of a configuration; what each accepted is written, which ends its lineage.
+    A key blocks later rows only if its row was reached before its source's quota was met. All sources are
+    taken at once: each key's first row of each source is placed once, in ranges of (source, order); then every
+    source is cut at its quota, keys that a source reached block the sources after it, and sources are cut
+    again, until nothing changes. After k rounds the first k sources are final, and a round changes only what
+    sources share, so few rounds do unless keys chain through many of them. Rows that are not `usable` (a
+    broken image) block their key but add neither a row nor tokens.
     """
-    seen = None
-    parts = []
-    for i, (source, quota) in enumerate(sources):
-        rows = df.where(F.col("source") == source)
-        if seen is not None:
-            rows = rows.join(seen, key, "left_anti")
-        rows = first_of_each(rows, key, [order])
-        weight = F.when(usable, F.col(tokens)).otherwise(0) if usable is not None else F.col(tokens)
-        kept = written(ordered_offsets(rows, [F.col(order)], weight).where(F.col("before") < quota).drop("before").withColumn("source_ord", F.lit(i)))
-        parts.append(kept.where(usable) if usable is not None else kept)
-        seen = kept.select(key) if seen is None else seen.unionByName(kept.select(key))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    spark = df.sparkSession
+    named = spark.createDataFrame([(s, i, q) for i, (s, q) in enumerate(sources)], "source string, source_ord int, _quota long")
+    rows = df.join(F.broadcast(named), "source")  # one row per source of the configuration
+    first = first_of_each(rows.select(*df.columns, "source_ord", "_quota", F.struct("source_ord", key).alias("_of")), "_of", [order]).drop("_of")
+    weight = F.when(usable, F.col(tokens)).otherwise(0) if usable is not None else F.col(tokens)
+    of_key = F.count(F.lit(1)).over(Window.partitionBy(key))  # at most one row a source
+    placed = first.withColumn("_shared", of_key > 1).withColumn("_w", weight).repartitionByRange("source_ord", order)
+    placed = written(placed.withColumn("_p", F.spark_partition_id()))
+    slim = placed.select("_p", "_w", "_quota", "_shared", "source_ord", order, key)
+    blocked, last = None, None
+    for _ in range(len(sources) + 1):
+        live = slim if blocked is None else slim.join(blocked, ["source_ord", key], "left_anti")
+        taken = _with_offsets(live, ["source_ord"], [order]).where(F.col("before") < F.col("_quota"))
+        reached = taken.where("_shared").groupBy(key).agg(F.min("source_ord").alias("_by"))
+        found = written(slim.where("_shared").join(reached, key).where("source_ord > _by").select("source_ord", key))
+        sign = found.agg(F.count(F.lit(1)), F.sum(F.xxhash64("source_ord", key).cast("decimal(38,0)"))).first()
+        if sign == last:
+            break
+        blocked, last = found, sign
+        if not sign[0]:
+            break
+    kept = placed.join(blocked, ["source_ord", key], "left_anti") if last[0] else placed
+    out = _with_offsets(kept, ["source_ord"], [order]).where(F.col("before") < F.col("_quota"))
+    out = out.where(usable) if usable is not None else out
+    return out.select(*df.columns, "source_ord")
 
 
 def gave_up(df: DataFrame, group: str, order: str, accepted: Column, quota: int) -> DataFrame:
