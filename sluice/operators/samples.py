@@ -5,25 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.functions.expressions import holdout, pad
+from sluice.functions.expressions import bound, holdout, pad
+from sluice.operators.corpus import group_offsets
+from sluice.operators.transforms import column
 
 #: Fixed value: labels that losses ignore.
 IGNORED = -100
 
 
 def violations(df: DataFrame) -> DataFrame:
-    """Add `error`: why a row isn't a valid sample, null if it is."""
-    text, messages = F.col("text").isNotNull(), F.col("messages").isNotNull()
+    """Add `error`: why a row isn't a valid sample, null if it is.
+
+    An empty text counts as none, a null image path as no path; an empty list of images is valid.
+    """
+    text, messages = F.coalesce(column(df, "text"), F.lit("")) != "", F.col("messages").isNotNull()
     bad = F.exists("messages", lambda m: m["role"].isNull() | m["content"].isNull())
+    broken = F.exists(column(df, "images", "array<string>"), lambda i: i.isNull())
     error = (
-        F.when(F.col("id").isNull() | (F.col("id") == ""), "missing id")
-        .when(text & messages, "both text and messages")
+        F.when(F.coalesce(F.col("id"), F.lit("")) == "", "missing id")
         .when(~text & ~messages, "neither text nor messages")
+        .when(text & messages, "both text and messages")
         .when(F.coalesce(bad, F.lit(False)), "message without role or content")
+        .when(F.coalesce(broken, F.lit(False)), "image without path")
     )
     return df.withColumn("error", error)
 
 
+def normalised_images(df: DataFrame) -> DataFrame:
+    """Rows whose empty lists of images have become null."""
+    return df.withColumn("images", F.when(F.size("images") > 0, F.col("images")))
+
+
 def strict(df: DataFrame) -> DataFrame:
     """The rows, failing at the first invalid one."""
     checked = violations(df)
@@ -68,8 +80,64 @@ def tail_labels(ids: Column, n: Column) -> Column:
 
 def batches(df: DataFrame, order: Column, size: int, *within: str) -> DataFrame:
     """Add `batch`: groups of `size` consecutive rows in `order` within each of `within`."""
-    place = F.row_number().over(Window.partitionBy(*within).orderBy(order)) - 1
-    return df.withColumn("batch", F.floor(place / size).cast("int"))
+    placed = group_offsets(df.withColumn("_o", order), list(within), ["_o"], F.lit(1))
+    return placed.withColumn("batch", F.floor(F.col("before") / size).cast("int")).drop("_o", "before")
+
+
+def length_batches(df: DataFrame, chunk: str, length: str, key: str, has_images: Column, size: int) -> DataFrame:
+    """Add `images` and `batch`: within a chunk longest first, rows with images and without never in one batch."""
+    rows = df.withColumn("images", has_images)
+    return batches(rows, F.struct((-F.col(length)).alias("l"), F.col(key).alias("k")), size, chunk, "images")
+
+
+def within_length(df: DataFrame, ids: str, most: int, has_images: Column) -> DataFrame:
+    """Rows with images go if they are too long, as a run of image tokens can't be cut; others are truncated."""
+    return df.where(~has_images | (F.size(ids) <= most)).withColumn(ids, truncated(F.col(ids), most))
+
+
+def encoded(df: DataFrame, most: int, pad_id: int = 0) -> DataFrame:
+    """`input_ids`, `attention_mask`, `labels` of samples, given their token arrays.
+
+    Of text_ids all are labels; of chat_ids those under assistant_mask or, without a mask, as many at the end as
+    the last answer (answer_ids) has; image_ids come from image_encoded and carry their own labels in
+    image_labels. A row without any is one masked padding token, for without_empty to drop.
+    """
+    ids = lambda name: truncated(column(df, name, "array<int>"), most)
+    text, chat, images = ids("text_ids"), ids("chat_ids"), column(df, "image_ids", "array<int>")
+    mask, answer = ids("assistant_mask"), column(df, "answer_ids", "array<int>")
+    chat_labels = F.when(mask.isNotNull(), masked_labels(chat, mask)).otherwise(tail_labels(chat, F.coalesce(F.when(answer.isNotNull(), F.size(answer)), F.lit(0))))
+    none = F.array(F.lit(pad_id))
+    out = df.withColumn("input_ids", F.coalesce(images, text, chat, none))
+    found = F.when(images.isNotNull(), F.coalesce(column(df, "image_labels", "array<int>"), images)).when(text.isNotNull(), text).when(chat.isNotNull(), chat_labels).otherwise(F.array(F.lit(IGNORED)))
+    known = F.coalesce(images, text, chat).isNotNull()
+    return out.withColumns({"labels": found, "attention_mask": F.transform("input_ids", lambda _: F.when(known, 1).otherwise(0))})
+
+
+def image_encoded(df: DataFrame, ids: str, grids: str, images: str, pad_id: int, video_id: int, merge: int, most: int, mask: str = "assistant_mask") -> DataFrame:
+    """Samples with images: pads counted, expanded to image tokens, over-long rows dropped, labelled and typed.
+
+    Adds image_ids, image_labels, types. The assistant's mask is expanded with the ids; image tokens are never labels.
+    """
+    rows = consistent_images(df, ids, pad_id, images)
+    flat = F.zip_with(ids, mask, lambda x, m: F.struct(x.alias("x"), m.cast("int").alias("m")))
+    wide = _expanded(flat, F.col(ids), F.col(grids), pad_id, merge)
+    rows = rows.withColumn("_wide", wide).where(F.size("_wide") <= most)
+    rows = rows.withColumn("image_ids", F.transform("_wide", lambda s: s["x"]))
+    labels = F.transform("_wide", lambda s: F.when((s["m"] != 0) & (s["x"] != pad_id), s["x"]).otherwise(IGNORED))
+    return rows.withColumns({"image_labels": labels, "types": token_types(F.col("image_ids"), pad_id, video_id)}).drop("_wide")
+
+
+def microbatch_inputs(samples: DataFrame, embeddings: DataFrame, cached: DataFrame, rollouts: DataFrame, first_layer: int) -> DataFrame:
+    """(sid, pos, vec, origin): what a block starts from: embeddings at the first layer, else rollout rows, else cached ones.
+
+    embeddings(sid, pos, vec), cached and rollouts(sid, layer, pos, vec) hold the output of the layer before.
+    """
+    if first_layer == 0:
+        return samples.select("sid").join(embeddings, "sid").select("sid", "pos", "vec", F.lit("embedding").alias("origin"))
+    before = F.col("layer") == first_layer - 1
+    both = rollouts.where(before).select("sid", "pos", "vec", F.lit(0).alias("o")).unionByName(cached.where(before).select("sid", "pos", "vec", F.lit(1).alias("o")))
+    best = samples.select("sid").join(both, "sid").groupBy("sid", "pos").agg(F.min_by("vec", "o").alias("vec"), F.min("o").alias("o"))
+    return best.select("sid", "pos", "vec", F.when(F.col("o") == 0, "rollout").otherwise("cache").alias("origin"))
 
 
 def padded(df: DataFrame, keys: list[str], ids: str, filler: int = 0, multiple: int = 1) -> DataFrame:
@@ -104,10 +172,17 @@ def image_tokens(grid: Column, merge: int) -> Column:
     return (grid[0] * F.floor(grid[1] / merge) * F.floor(grid[2] / merge)).cast("int")
 
 
+def _expanded(items: Column, ids: Column, grids: Column, pad_id: int, merge: int) -> Column:
+    """items, one for each id, with those of image pads repeated; the k-th pad takes the k-th grid."""
+    places = F.filter(F.transform(ids, lambda x, i: F.when(x == pad_id, i)), lambda i: i.isNotNull())
+    count = lambda i, pads: image_tokens(F.try_element_at(grids, F.array_position(pads, i).cast("int")), merge)
+    pairs = F.zip_with(items, ids, lambda s, x: F.struct(s.alias("s"), (x == pad_id).alias("pad")))
+    return bound(places, lambda pads: F.flatten(F.transform(pairs, lambda p, i: F.when(p["pad"], F.array_repeat(p["s"], count(i, pads))).otherwise(F.array(p["s"])))))
+
+
 def expanded(ids: Column, grids: Column, pad_id: int, merge: int) -> Column:
     """Each image pad repeated as often as its image has tokens."""
-    order = F.transform(ids, lambda x, i: F.size(F.filter(F.slice(ids, 1, i + 1), lambda y: y == pad_id)))
-    return F.flatten(F.zip_with(ids, order, lambda x, k: F.when(x == pad_id, F.array_repeat(x, image_tokens(F.try_element_at(grids, k), merge))).otherwise(F.array(x))))
+    return _expanded(ids, ids, grids, pad_id, merge)
 
 
 def token_types(ids: Column, image_id: int, video_id: int) -> Column:
