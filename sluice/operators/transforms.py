@@ -24,6 +24,16 @@ MESSAGES = "array<struct<role:string,content:string>>"
 #: The roles that turns may name, by what they become.
 ROLES = {"human": "user", "user": "user", "gpt": "assistant", "assistant": "assistant", "bot": "assistant", "system": "system"}
 
+#: What prompts say besides the rows' own texts.
+ENDING_PROMPT = "Choose the ending that best continues the passage.\n\n"
+CHOICE_PROMPT = "\n\nAnswer with the letter only."
+TOOLS_PROMPT = "You have access to the following tools:\n"
+#: The names that source configurations use, by the transform they mean.
+CONFIGURED = {
+    "fineweb2_text": "scored_text", "messages_passthrough": "messages", "conversations_sharegpt": "sharegpt", "conversations_humanassistant": "human_assistant", "instruction_io": "instruction",
+    "mmlu_mc": "multiple_choice", "hellaswag_mc": "best_ending", "glaive_chat": "marked_chat", "xlam_function_call": "function_call", "the_cauldron": "image_pairs", "vl_image_qa": "image_question",
+}
+
 
 def transform(name: str) -> Callable[[Transform], Transform]:
     """Register a transform under its name."""
@@ -37,7 +47,7 @@ def transform(name: str) -> Callable[[Transform], Transform]:
 
 def apply(name: str, df: DataFrame, **options) -> DataFrame:
     """Run the named transform and drop what it rejects; an unknown name raises KeyError."""
-    out = TRANSFORMS[name](df, **options)
+    out = TRANSFORMS[CONFIGURED.get(name, name)](df, **options)
     return out.where(F.col("messages").isNotNull() if "messages" in out.columns else F.col("text").isNotNull())
 
 
@@ -129,7 +139,7 @@ def instruction_io(df: DataFrame) -> DataFrame:
 def _choices(head: Column, choices: Column, place: Column, letters: str) -> Column:
     letter = lambda i: F.substring(F.lit(letters), i + 1, F.lit(1))
     body = F.array_join(F.transform(choices, lambda c, i: F.concat(letter(i), F.lit(". "), F.coalesce(c, F.lit("None")))), "\n")
-    user = F.concat(head, F.lit("\n\n"), body, F.lit("\n\nAnswer with the letter only."))
+    user = F.concat(head, F.lit("\n\n"), body, F.lit(CHOICE_PROMPT))
     fits = (place >= 0) & (place < F.size(choices)) & (F.size(choices) <= len(letters))
     return F.when(fits, F.array(message("user", user), message("assistant", letter(place))))
 
@@ -146,8 +156,26 @@ def multiple_choice(df: DataFrame) -> DataFrame:
 @transform("best_ending")
 def best_ending(df: DataFrame) -> DataFrame:
     """A passage, up to four endings and the right one's index as text."""
-    head = F.concat(F.lit("Choose the ending that best continues the passage.\n\n"), strip(F.col("ctx")))
-    return df.withColumn("messages", _choices(head, F.col("endings"), F.expr("try_cast(label as int)"), "ABCD"))
+    head = F.concat(F.lit(ENDING_PROMPT), strip(F.col("ctx")))
+    endings = _literal_strings(F.col("endings")) if dict(df.dtypes)["endings"] == "string" else F.col("endings")
+    return df.withColumn("messages", _choices(head, endings, F.expr("try_cast(label as int)"), "ABCD"))
+
+
+def _literal_strings(texts: Column) -> Column:
+    """A list of strings written as a Python literal; null where it can't be read."""
+
+    def read(text):
+        try:
+            value = ast.literal_eval(text)
+        except (ValueError, SyntaxError, TypeError):
+            return None
+        return [str(x) for x in value] if isinstance(value, list) else None
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([read(t) if isinstance(t, str) else None for t in texts])
+
+    return run(texts)
 
 
 @transform("marked_chat")
@@ -194,7 +222,7 @@ def _spaced_json(texts: Column) -> Column:
 def function_call(df: DataFrame) -> DataFrame:
     """A query with tools and answers as JSON lists."""
     tools, answers = _spaced_json(F.col("tools")), _spaced_json(F.col("answers"))
-    found = F.array(message("system", F.concat(F.lit("You have access to the following tools:\n"), tools)), message("user", strip(F.col("query"))), message("assistant", answers))
+    found = F.array(message("system", F.concat(F.lit(TOOLS_PROMPT), tools)), message("user", strip(F.col("query"))), message("assistant", answers))
     return df.withColumn("messages", F.when(~is_blank(F.col("query")) & tools.isNotNull() & answers.isNotNull(), found))
 
 
