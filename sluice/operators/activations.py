@@ -127,6 +127,7 @@ def anomalies(df: DataFrame, keys: Sequence[str], least_cosine: float = 0.5, mos
         F.when(F.col("relative_delta_vs_a") > most_relative, F.struct(F.lit("large relative delta").alias("rule"), F.col("relative_delta_vs_a").alias("value"))),
         F.when(F.col("mse") > most_error, F.struct(F.lit("large mse").alias("rule"), F.col("mse").alias("value"))),
         F.when(F.col("shape_mismatch"), F.struct(F.lit("shape mismatch").alias("rule"), F.lit(1.0).alias("value"))),
+        F.when((F.col("error") if "error" in df.columns else F.lit(None)).isNotNull(), F.struct(F.lit("error").alias("rule"), F.lit(1.0).alias("value"))),
         F.when(~is_finite(F.col("mse")), F.struct(F.lit("not finite").alias("rule"), F.lit(1.0).alias("value"))),
     )
     return df.select(*keys, F.explode(F.array_compact(rules)).alias("x")).select(*keys, "x.*")
@@ -137,3 +138,88 @@ def best_candidate(df: DataFrame, keys: Sequence[str], score: str, vector: str)
     return df.groupBy(*keys).agg(F.max_by(vector, score).alias(vector), F.max(score).alias(score))
 
 
+#: Parts of names that speak for activations, and those that speak against.
+HIDDEN_HINTS = ["hidden", "hidden_state", "hidden_states", "activation", "activations", "teacher_hidden"]
+OTHER_HINTS = ["router", "router_logits", "logits", "input_ids", "attention_mask", "position_ids", "labels"]
+LEAST_WIDTH = 16
+
+
+def _has(name: Column, hints: Sequence[str]) -> Column:
+    out = F.lit(False)
+    for h in hints:
+        out = out | F.lower(name).contains(h)
+    return out
+
+
+def looks_hidden(name: Column) -> Column:
+    """Whether a name alone speaks for activations."""
+    return ~_has(name, OTHER_HINTS) & _has(name, HIDDEN_HINTS)
+
+
+def hidden_candidate(path: Column, shape: Column) -> Column:
+    """Whether a tensor may hold activations: by its name, or by two or three dimensions, the last one wide."""
+    wide = (F.size(shape) >= 2) & (F.element_at(shape, -1) >= LEAST_WIDTH)
+    return wide & ~_has(path, OTHER_HINTS) & (_has(path, HIDDEN_HINTS) | F.size(shape).isin(2, 3))
+
+
+def with_cache(samples: DataFrame, cached: DataFrame, key: str) -> DataFrame:
+    """Every sample with what the cache holds of it; null columns where it holds nothing."""
+    return samples.join(cached, key, "left")
+
+
+def require_cached(samples: DataFrame, cached: DataFrame, key: str) -> DataFrame:
+    """The samples; raises ValueError with the first three keys (in order) that the cache lacks."""
+    lacking = [str(r[0]) for r in missing(samples, cached, key).select(key).orderBy(key).limit(3).collect()]
+    if lacking:
+        raise ValueError(f"not in the cache: {', '.join(lacking)}")
+    return samples
+
+
+def layer_union(df: DataFrame, sample: str = "sid", layer: str = "layer") -> DataFrame:
+    """(layer, samples): every layer that any sample has, and how many have it."""
+    return df.groupBy(layer).agg(F.count_distinct(sample).alias("samples"))
+
+
+def common_layers(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(layer): the layers of both sides."""
+    return a.select("layer").intersect(b.select("layer"))
+
+
+def pair_counts(df: DataFrame, keys: Sequence[str] = ("layer", "next_layer"), error: str = "error") -> DataFrame:
+    """(keys, samples, errors, shape_mismatches) of pair rows; `error` is a text where a pair failed."""
+    failed = F.count_if(F.col(error).isNotNull()) if error in df.columns else F.lit(0).cast("long")
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("samples"), failed.alias("errors"), F.count_if("shape_mismatch").alias("shape_mismatches"))
+
+
+def first_anomalies(found: DataFrame, order: Sequence[str], most: int = 300) -> DataFrame:
+    """The report's list: the first `most` anomalies in order."""
+    return found.orderBy(*order).limit(most)
+
+
+def extremes(df: DataFrame, by: str, key: str, n: int = 5) -> DataFrame:
+    """(side, place, key, by): the n highest and n lowest rows, as a report shows them."""
+    parts = []
+    for side, order in (("high", F.desc(by)), ("low", F.asc(by))):
+        top = df.where(F.col(by).isNotNull()).select(key, by).orderBy(order, key).limit(n)
+        parts.append(top.select(F.lit(side).alias("side"), F.row_number().over(Window.orderBy(order, key)).alias("place"), key, by))
+    return parts[0].unionByName(parts[1])
+
+
+def append_layer(df: DataFrame, path: str) -> None:
+    """Add rows (sid, layer, chunk, ...) to a store: other samples of their parts stay, their own are replaced."""
+    from sluice.operators.corpus import written
+
+    spark = df.sparkSession
+    parts = df.select("layer", "chunk").distinct()
+    old = spark.read.parquet(path).join(F.broadcast(parts), ["layer", "chunk"], "left_semi")  # one row per part written
+    stay = old.join(df.select("sid", "layer", "chunk").distinct(), ["sid", "layer", "chunk"], "left_anti")
+    write_store(written(stay.unionByName(df)), path)
+
+
+def snapshot(df: DataFrame, path: str, meta: dict) -> None:
+    """Write the tensors of layers (layer, key, ...) and their description; other layers of the folder stay."""
+    import json
+
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("layer").parquet(f"{path}/tensors")
+    spark = df.sparkSession
+    spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")

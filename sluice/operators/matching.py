@@ -7,18 +7,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.functions.expressions import dot, norm
+from sluice.functions.expressions import dot, unit
 
-#: Rows of a kept side that is sent to every executor as one matrix.
-KEPT_ROWS = 200_000
+#: Bytes of a matrix that is sent to every executor.
+KEPT_BYTES = 128 << 20
 #: Similarities that a block holds at once.
 BLOCK_CELLS = 4_000_000
 
 
 def similarities(dropped: DataFrame, kept: DataFrame, vector: str = "vec", eps: float = 1e-12) -> DataFrame:
     """(layer, dropped, kept, sim) of every pair within a layer; experts of a layer are few by nature."""
-    unit = lambda d, as_: d.select("layer", F.col("expert").alias(as_), F.transform(vector, lambda x: x.cast("double") / F.greatest(norm(F.col(vector)), F.lit(eps))).alias(f"u_{as_}"))
-    return unit(dropped, "dropped").join(unit(kept, "kept"), "layer").select("layer", "dropped", "kept", dot(F.col("u_dropped"), F.col("u_kept")).alias("sim"))
+    units = lambda d, as_: d.select("layer", F.col("expert").alias(as_), unit(F.col(vector), eps).alias(f"u_{as_}"))
+    return units(dropped, "dropped").join(units(kept, "kept"), "layer").select("layer", "dropped", "kept", dot(F.col("u_dropped"), F.col("u_kept")).alias("sim"))
 
 
 def softmax_weights(sims: DataFrame, tau: float = 0.1) -> DataFrame:
@@ -75,27 +75,33 @@ def _first(row: np.ndarray, k: int) -> np.ndarray:
 def top_candidates(dropped: DataFrame, kept: DataFrame, k: int) -> DataFrame:
     """(row, slot, col, sim): the k most similar kept rows of each dropped row, by blocks of a matrix product.
 
-    dropped(row, vec) and kept(col, vec) hold unit vectors. The kept side goes to every executor; its size
-    is checked, and a larger one raises ValueError (split it by layer first).
+    dropped(row, vec) and kept(col, vec) hold unit vectors. The kept side goes to the executors as a matrix of
+    KEPT_BYTES at most; a larger one goes in as many blocks as it takes, whose best are then put together.
     """
-    n = kept.count()
-    if n > KEPT_ROWS:
-        raise ValueError(f"{n} kept rows; at most {KEPT_ROWS} are sent to every executor")
-    rows = kept.orderBy("col").collect()
-    ids, matrix = np.array([r["col"] for r in rows], np.int64), np.array([r["vec"] for r in rows], np.float64)
-    shared = dropped.sparkSession.sparkContext.broadcast((ids, matrix))
-    step = max(1, min(1024, BLOCK_CELLS // max(1, n)))
-
-    def block(frames):
-        ids, matrix = shared.value
-        for frame in frames:
-            for at in range(0, len(frame), step):
-                part = frame.iloc[at : at + step]
-                sims = np.array(part["vec"].tolist(), np.float64) @ matrix.T
-                order = np.array([_first(row, k) for row in sims])
-                yield pd.DataFrame({"row": np.repeat(part["row"].to_numpy(), order.shape[1]), "slot": np.tile(np.arange(order.shape[1]), len(part)), "col": ids[order].ravel(), "sim": np.take_along_axis(sims, order, 1).ravel()})
-
-    return dropped.select("row", "vec").mapInPandas(block, "row long, slot int, col long, sim double")
+    found = kept.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("width")).first()
+    size = 8 * found["n"] * (found["width"] or 0)
+    blocks = max(1, -(-size // KEPT_BYTES))
+    step = max(1, min(1024, BLOCK_CELLS * blocks // max(1, found["n"])))
+    schema = "row long, col long, sim double"
+    out = None
+    for b in range(blocks):
+        part = kept.where(F.pmod(F.xxhash64("col"), F.lit(blocks)) == b).orderBy("col").collect()
+        ids, matrix = np.array([r["col"] for r in part], np.int64), np.array([r["vec"] for r in part], np.float64)
+        shared = dropped.sparkSession.sparkContext.broadcast((ids, matrix))
+
+        def block(frames, shared=shared):
+            ids, matrix = shared.value
+            for frame in frames:
+                for at in range(0, len(frame) if len(ids) else 0, step):
+                    rows = frame.iloc[at : at + step]
+                    sims = np.array(rows["vec"].tolist(), np.float64) @ matrix.T
+                    order = np.array([_first(row, k) for row in sims])
+                    yield pd.DataFrame({"row": np.repeat(rows["row"].to_numpy(), order.shape[1]), "col": ids[order].ravel(), "sim": np.take_along_axis(sims, order, 1).ravel()})
+
+        best = dropped.select("row", "vec").mapInPandas(block, schema)
+        out = best if out is None else out.unionByName(best)
+    place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("sim"), "col")) - 1  # k rows a block
+    return out.withColumn("slot", place).where(F.col("slot") < k).select("row", "slot", "col", "sim")
 
 
 def greedy_matching(candidates: DataFrame, group: str) -> DataFrame:
@@ -175,9 +181,48 @@ def block_matching(candidates: DataFrame, group: str, block: int = 1024) -> Data
 
 
 def match_stats(matches: DataFrame) -> DataFrame:
-    """Of each layer: neurons, hosted, below the threshold, mean and linear quantiles of hosted similarity."""
+    """Of each layer: neurons, hosted, below the threshold, mean and linear quantiles of hosted similarity, most guests of a host neuron."""
     sim = F.when(F.col("hosted"), F.col("sim"))
-    return matches.groupBy("layer").agg(F.count(F.lit(1)).alias("total"), F.count_if("hosted").alias("hosted"), F.count_if(~F.col("hosted")).alias("below"), F.coalesce(F.avg(sim), F.lit(0.0)).alias("sim_mean"), F.coalesce(F.percentile(sim, 0.1), F.lit(0.0)).alias("sim_p10"), F.coalesce(F.percentile(sim, 0.9), F.lit(0.0)).alias("sim_p90"))
+    loads = matches.where("hosted").groupBy("layer", "host", "host_neuron").agg(F.count(F.lit(1)).alias("n")).groupBy("layer").agg(F.max("n").alias("max_load"))
+    stats = matches.groupBy("layer").agg(F.count(F.lit(1)).alias("total"), F.count_if("hosted").alias("hosted"), F.count_if(~F.col("hosted")).alias("below"), F.coalesce(F.avg(sim), F.lit(0.0)).alias("sim_mean"), F.coalesce(F.percentile(sim, 0.1), F.lit(0.0)).alias("sim_p10"), F.coalesce(F.percentile(sim, 0.9), F.lit(0.0)).alias("sim_p90"))
+    return stats.join(loads, "layer", "left").withColumn("max_load", F.coalesce("max_load", F.lit(0)))
+
+
+def merge_warnings(stats: DataFrame, least_rate: float = 0.10, most_load: int = 32) -> DataFrame:
+    """(layer, warning, value): layers where few neurons found a host, or one host took many."""
+    rate = F.col("hosted") / F.greatest(F.col("total"), F.lit(1))
+    found = F.array(
+        F.when((rate < least_rate) & (F.col("total") > 0), F.struct(F.lit("few hosted").alias("warning"), rate.alias("value"))),
+        F.when(F.col("max_load") >= most_load, F.struct(F.lit("crowded host").alias("warning"), F.col("max_load").cast("double").alias("value"))),
+    )
+    return stats.select("layer", F.explode(F.array_compact(found)).alias("x")).select("layer", "x.*")
+
+
+def merge_plan(weights: DataFrame, alpha: float) -> DataFrame:
+    """(layer, json): each layer's dropped and surviving experts and the weights (dropped, kept, w) between them."""
+    ids = lambda c: F.sort_array(F.collect_set(c))
+    triples = F.sort_array(F.collect_list(F.struct("dropped", "kept", "w")))
+    rows = weights.groupBy("layer").agg(ids("dropped").alias("dropped"), ids("kept").alias("surviving"), triples.alias("weights"))
+    return rows.select("layer", F.to_json(F.struct(F.lit(alpha).alias("alpha"), "dropped", "surviving", "weights")).alias("json"))
+
+
+def complement(every: DataFrame, surviving: DataFrame) -> DataFrame:
+    """(layer, expert): the experts of `every` that don't survive."""
+    return every.select("layer", "expert").distinct().join(surviving.select("layer", "expert"), ["layer", "expert"], "left_anti")
+
+
+#: How dropped neurons find a host, by name.
+STRATEGIES = {"local": local_matches, "global_greedy": lambda c, group: greedy_matching(c, group), "block_hungarian": lambda c, group, block=1024: block_matching(c, group, block)}
+#: How whole experts are weighted, by name.
+WEIGHTINGS = {"cosine": softmax_weights, "cooccurrence": cooccurrence_weights}
+
+
+def strategy(name: str):
+    """The matching or weighting of a name; an unknown one raises ValueError."""
+    found = STRATEGIES.get(name) or WEIGHTINGS.get(name)
+    if found is None:
+        raise ValueError(f"unknown merge strategy: {name}")
+    return found
 
 
 def load_histogram(matches: DataFrame, places: DataFrame) -> DataFrame:

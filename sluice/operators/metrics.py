@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.functions.expressions import cosine, dot, is_finite
-from sluice.operators.corpus import written
+from sluice.functions.expressions import bound, cosine, dot, is_finite, micro_step
+from sluice.operators.corpus import group_offsets, written
 
 
 def masked_mean(value: Column, mask: Column | None = None) -> Column:
@@ -39,6 +39,22 @@ def hidden_metrics(pairs: DataFrame, keys: Sequence[str] = (), mask: Column | No
     return per.groupBy(*keys).agg(F.avg("hidden_mse").alias("hidden_mse"), F.avg("nmse").alias("nmse"), (1 - F.avg("cos")).alias("cos_loss"), F.avg("teacher_norm").alias("teacher_norm"), F.avg("student_norm").alias("student_norm"))
 
 
+#: How layers are weighted, by name, and whether deeper ones weigh more.
+WEIGHTINGS = {"uniform": False, "linear_deeper_more": True}
+
+
+def layer_weighting(name: str) -> bool:
+    """What weighted_layers takes for a scheme's name; an unknown one raises ValueError."""
+    if name not in WEIGHTINGS:
+        raise ValueError(f"unknown layer weighting: {name}")
+    return WEIGHTINGS[name]
+
+
+def layer_pairs(student: DataFrame, teacher: DataFrame, keys: Sequence[str] = ("sid", "layer", "pos")) -> DataFrame:
+    """(keys, s, t): student and teacher vectors of the layers and tokens that both have."""
+    return student.select(*keys, F.col("vec").alias("s")).join(teacher.select(*keys, F.col("vec").alias("t")), list(keys))
+
+
 def weighted_layers(per_layer: DataFrame, value: str, deeper_more: bool = False) -> DataFrame:
     """A loss over layers: evenly, or weighted by depth rank over the sum of ranks."""
     rank = F.row_number().over(Window.orderBy("layer"))  # one row per layer
@@ -48,8 +64,7 @@ def weighted_layers(per_layer: DataFrame, value: str, deeper_more: bool = False)
 
 def cross_entropy(logits: Column, label: Column) -> Column:
     """Of one token: the log of the summed exponentials less the label's logit; null for ignored labels."""
-    top = F.array_max(logits).cast("double")
-    logsum = top + F.log(F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x.cast("double") - top)))
+    logsum = bound(F.array_max(logits).cast("double"), lambda top: top + F.log(F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x.cast("double") - top))))
     return F.when(label != -100, logsum - F.try_element_at(logits, label.cast("int") + 1).cast("double"))
 
 
@@ -165,10 +180,15 @@ def metric_line(step: Column, parts: dict[str, Column], width: int = 12) -> Colu
     return F.concat_ws(" ", F.lpad(step.cast("string"), 8, " "), *cells)
 
 
+def accumulated(df: DataFrame, order: str, metrics: Sequence[str], accumulate: int) -> DataFrame:
+    """(step, metrics): the mean over each optimizer step's micro-steps, numbered from 0 in `order`."""
+    numbered = df.withColumn("step", micro_step(F.col(order), accumulate))
+    return numbered.groupBy("step").agg(*((F.sum(m) / accumulate).alias(m) for m in metrics))
+
+
 def cycling(df: DataFrame, key: str, epochs: int, seed: int) -> DataFrame:
     """(epoch, key, place): every epoch in another seeded order."""
     rows = df.select(key).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     order = F.sha1(F.concat_ws("|", F.lit(str(seed)), F.col("epoch").cast("string"), F.col(key).cast("string")).cast("binary"))
-    return rows.withColumn("_k", order).withColumn("place", F.row_number().over(Window.partitionBy("epoch").orderBy("_k", key)) - 1).drop("_k")
-
-
+    placed = group_offsets(rows.withColumn("_k", order), ["epoch"], ["_k", key], F.lit(1))
+    return placed.withColumnRenamed("before", "place").drop("_k")

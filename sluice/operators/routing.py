@@ -89,3 +89,19 @@ def layer_mean(df: DataFrame, value: str, layer: str = "layer", mask: Column | N
     m = mask.cast("double") if mask is not None else F.lit(1.0)
     per = df.groupBy(layer).agg((F.sum(F.col(value) * m) / F.greatest(F.sum(m), F.lit(1.0))).alias("x"))
     return per.agg(F.avg("x").alias(value))
+
+
+def resolved(layers: DataFrame, experts: int, n: int, how: str, chosen: DataFrame | None = None) -> DataFrame:
+    """(layer, experts) by the name of a selection: first_n, manual (checked) or router_top (most used)."""
+    if how == "first_n":
+        return selected(layers, layers.select("layer", F.lit(None).cast("array<int>").alias("experts")).where("false"), n)
+    if chosen is None:
+        raise ValueError(f"{how} needs a selection or usage counts")
+    if how == "manual":
+        bad = manual(chosen, experts, n).where("error is not null").orderBy("layer").first()
+        if bad:
+            raise ValueError(f"layer {bad['layer']}: {bad['error']}")
+        return chosen.select("layer", "experts")
+    if how == "router_top":
+        return selected(layers, recommended(chosen, n), n)
+    raise ValueError(f"unknown selection: {how}")
