@@ -5,7 +5,7 @@ from __future__ import annotations
 import fnmatch
 import json
 from collections import Counter
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -79,9 +79,74 @@ def read_files(spark: SparkSession, paths: Sequence[str], patterns: Sequence[str
 
 
 def read_samples(spark: SparkSession, path: str, schema: str, most: int | None = None) -> DataFrame:
-    """JSON lines, blank lines skipped; with `most`, the first rows in the files' order."""
+    """JSON lines, blank lines skipped; with `most`, the first rows by the files' names and places in them."""
     rows = spark.read.schema(schema).json(path)
-    return rows.limit(most) if most is not None else rows
+    if most is None:
+        return rows
+    order = {"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_line": F.monotonically_increasing_id()}
+    return rows.select("*", *(c.alias(n) for n, c in order.items())).orderBy(*order).limit(most).drop(*order)
+
+
+def resolve(local: Sequence[str], listing: Callable[[], Iterable[str]] | None, load: Callable[[], DataFrame] | None, read: Callable[[Sequence[str]], DataFrame], patterns: Sequence[str] = ()) -> DataFrame:
+    """A source by preference: files that are here, else those of a listing, else whatever `load` gives.
+
+    A listing is asked only if no local file matches, `load` only if there is no listing.
+    """
+    here = [p for p in matching(local, patterns) if format_of(p)]
+    if here:
+        return read(here)
+    if listing is not None:
+        found = [p for p in matching(list(listing()), patterns) if format_of(p)]
+        if not found:
+            raise FileNotFoundError(f"the listing has no file for {list(patterns)}")
+        return read(found)
+    if load is None:
+        raise FileNotFoundError("no local file, no listing and no loader")
+    return load()
+
+
+def paged_listing(page: Callable[[str | None], tuple[list[dict], str | None]], tries: int = 5, wait: Callable[[int], None] = lambda n: None) -> Iterator[dict]:
+    """The entries of all pages; `page(cursor)` gives entries and the next cursor, and is asked again when it fails with OSError."""
+    cursor = None
+    while True:
+        for n in range(tries):
+            try:
+                entries, cursor = page(cursor)
+                break
+            except OSError:
+                if n + 1 == tries:
+                    raise
+                wait(n)
+        yield from entries
+        if cursor is None:
+            return
+
+
+def is_data_file(path: Column) -> Column:
+    """Whether a path has the ending of a data file."""
+    out = F.lit(False)
+    for ending in ENDINGS:
+        out = out | F.lower(path).endswith(ending)
+    return out
+
+
+def weight_map(spark: SparkSession, path: str) -> DataFrame:
+    """(key, shard) of a shard index in JSON."""
+    rows = spark.read.schema("weight_map map<string,string>").json(path, multiLine=True)
+    return rows.select(F.explode("weight_map").alias("key", "shard"))
+
+
+def expert_mapping(spark: SparkSession, path: str) -> DataFrame:
+    """(layer, old_id, new_id) of a mapping file: for each `layer_<n>` the surviving ids, in their new order."""
+    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,struct<surviving_original_ids:array<int>>>")).alias("name", "x"))
+    rows = raw.where(F.col("name").startswith("layer_")).select(F.regexp_extract("name", r"(\d+)$", 1).cast("int").alias("layer"), F.posexplode("x.surviving_original_ids").alias("new_id", "old_id"))
+    return rows.select("layer", "old_id", "new_id")
+
+
+def sidecars(paths: Iterable[str], names: Iterable[str]) -> list[str]:
+    """The paths whose last part is one of `names`: what is copied beside rewritten weights."""
+    wanted = set(names)
+    return [p for p in paths if p.rsplit("/", 1)[-1] in wanted]
 
 
 def tensor_headers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -132,13 +197,22 @@ def reconciled(remote: DataFrame, local: DataFrame, key: str = "path") -> DataFr
 
 
 def profile(manifest: DataFrame, examples: int = 3) -> DataFrame:
-    """(directory, files, bytes, examples): counts and the first names of each directory."""
+    """(directory, files, bytes, examples): counts and the first names of each directory.
+
+    Spark cuts the numbering at `examples` before it shuffles, so a large directory sends a few rows a task.
+    """
     rows = manifest.withColumn("directory", F.regexp_replace("path", r"/?[^/]*$", ""))
     first = rows.groupBy("directory").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
     named = rows.select("directory", "path").withColumn("r", F.row_number().over(Window.partitionBy("directory").orderBy("path"))).where(F.col("r") <= examples)
     return first.join(named.groupBy("directory").agg(F.sort_array(F.collect_list("path")).alias("examples")), "directory")
 
 
+def distinct_values(df: DataFrame, *names: str) -> DataFrame:
+    """(kind, value): the distinct values of several columns, such as sample ids, layers and shards."""
+    parts = F.array(*(F.struct(F.lit(n).alias("kind"), F.col(n).cast("string").alias("value")) for n in names))
+    return df.select(F.explode(parts).alias("x")).select("x.*").where("value is not null").distinct()
+
+
 def index_ids(df: DataFrame, json_column: str) -> DataFrame:
     """(id): every string under a key `id` or `sample_id`, or key of `samples`, anywhere in JSON texts."""
 

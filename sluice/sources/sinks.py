@@ -37,6 +37,32 @@ def write_report(parts: list[DataFrame], path: str) -> None:
     out.write.mode("overwrite").option("header", "true").csv(path)
 
 
+def write_json_report(df: DataFrame, path: str) -> None:
+    """Rows as one JSON file; meant for reports, whose rows are few."""
+    df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def rewrite_shards(weights: DataFrame, path: str, per_shard: int) -> DataFrame:
+    """Write weights(key, ..., bytes) in key order as renumbered shards of about `per_shard` bytes; returns (key, shard).
+
+    Shard numbers follow from the running size alone, so the result doesn't depend on the cluster. A shard is
+    written by one task; the whole is never in one place.
+    """
+    from sluice.operators.corpus import ordered_offsets
+
+    rows = ordered_offsets(weights, [F.col("key")], F.col("bytes")).withColumn("shard", F.floor(F.col("before") / per_shard).cast("int")).drop("before")
+    rows.repartition("shard").sortWithinPartitions("shard", "key").write.mode("overwrite").partitionBy("shard").parquet(path)
+    return weights.sparkSession.read.parquet(path).select("key", "shard")
+
+
+def merge_report(stats: DataFrame, warnings: DataFrame) -> DataFrame:
+    """(text): a Markdown report of merge statistics by layer, and the warnings below."""
+    table = markdown(stats, "layer").select(F.lit(0).alias("o"), "text")
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("layer", "warning", "value"))), lambda x: F.format_string("- layer %d: %s (%.3f)", x["layer"], x["warning"], x["value"])), "\n")
+    notes = warnings.agg(F.concat(F.lit("## Warnings\n\n"), F.when(F.count(F.lit(1)) > 0, listed).otherwise("none")).alias("text")).select(F.lit(1).alias("o"), "text")
+    return table.unionByName(notes).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
+
+
 def markdown(df: DataFrame, order: str) -> DataFrame:
     """(text): a Markdown table of a summary; meant for reports, whose rows are few."""
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns)), F.lit(" |"))
