@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,12 +31,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def also_whole(f: Query) -> Query:
-    """Register `f` a second time, as its name with `_all`, over what its SQL leaves out; it has no SQL."""
-    QUERIES[f"{f.__name__}_all"] = functools.partial(f, whole=True)
-    return f
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -157,7 +150,9 @@ def corpus_glaive_split(spark, sf_dir):
     return chat_digest(transforms.apply("marked_chat", rows))
 
 
-@query()
+@query("""
+    SELECT event_id, 'You have access to the following tools:' || chr(10) || '[' || props || ']' AS system_text, '[' || props || ']' AS assistant_text FROM events WHERE event_id % 3 > 0
+""")
 def corpus_function_call(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("query"), F.concat(F.lit("["), "props", F.lit("]")).alias("tools"), F.col("props").alias("p"), F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("["), "props", F.lit("]"))).otherwise("{").alias("answers"))
     return transforms.apply("function_call", rows).select("event_id", F.col("messages")[0]["content"].alias("system_text"), F.col("messages")[2]["content"].alias("assistant_text"))
@@ -212,7 +207,19 @@ def corpus_dedup_quota_chain(spark, sf_dir):
     return corpus.harvest(rows, SOURCES, "doc_id", "n_tok", "h").select("doc_id", "source", "n_tok")
 
 
-@query()
+PLACE = "CASE WHEN n_tok <= 256 THEN 1 WHEN n_tok <= 512 THEN 2 WHEN n_tok <= 1024 THEN 3 WHEN n_tok <= 2048 THEN 4 END"
+
+
+@query(f"""
+    WITH RECURSIVE o AS (SELECT source, doc_id, n_tok, {PLACE} AS b, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM ({COUNTED})),
+    f AS (SELECT source, CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS doc_id, CAST(0 AS BIGINT) AS n_tok, false AS keep, [CAST(0 AS BIGINT), 0, 0, 0] AS t, CAST(0 AS BIGINT) AS used FROM o GROUP BY source
+          UNION ALL
+          SELECT source, r, doc_id, n_tok, keep, CASE WHEN keep THEN list_transform(t, lambda x, i: CASE WHEN i = b THEN x + n_tok ELSE x END) ELSE t END, CASE WHEN keep THEN used + n_tok ELSE used END
+          FROM (SELECT o.source, o.r, o.doc_id, CAST(o.n_tok AS BIGINT) AS n_tok, o.b, f.t, f.used,
+                       f.used < 10000 AND o.n_tok > 0 AND o.b IS NOT NULL AND (f.t[o.b] <= 3750 OR (list_min(f.t) = 0 AND list_max(f.t) >= 10000) OR list_min(f.t) > 3750) AS keep
+                FROM f JOIN o ON o.source = f.source AND o.r = f.r + 1))
+    SELECT source, doc_id, n_tok FROM f WHERE keep
+""")
 def corpus_bucket_balance(spark, sf_dir):
     return corpus.balanced(counted(spark, sf_dir).select("source", "doc_id", "n_tok"), "source", "doc_id", "n_tok", 10_000, EDGES)
 
@@ -240,20 +247,21 @@ def corpus_ids(spark, sf_dir):
 
 
 @query("""
-    WITH s AS (SELECT doc_id, CASE WHEN doc_id % 50 > 0 THEN 'sample_' || doc_id END AS id, CASE WHEN doc_id % 7 > 0 THEN text END AS text, doc_id % 11 = 0 AS chat, doc_id % 22 = 0 AS bad FROM documents)
-    SELECT doc_id, CASE WHEN id IS NULL THEN 'missing id' WHEN text IS NOT NULL AND chat THEN 'both text and messages' WHEN text IS NULL AND NOT chat THEN 'neither text nor messages' WHEN chat AND bad THEN 'message without role or content' END AS error FROM s
+    WITH s AS (SELECT doc_id, CASE WHEN doc_id % 50 > 0 THEN 'sample_' || doc_id END AS id, CASE WHEN doc_id % 7 > 0 THEN text WHEN doc_id % 2 = 0 THEN '' END AS text, doc_id % 11 = 0 AS chat, doc_id % 22 = 0 AS bad, doc_id % 26 = 0 AS broken FROM documents)
+    SELECT doc_id, CASE WHEN id IS NULL THEN 'missing id' WHEN coalesce(text, '') = '' AND NOT chat THEN 'neither text nor messages' WHEN coalesce(text, '') <> '' AND chat THEN 'both text and messages'
+           WHEN chat AND bad THEN 'message without role or content' WHEN broken THEN 'image without path' END AS error FROM s
 """)
 def sample_validation(spark, sf_dir):
     chat = F.array(F.struct(F.when(F.col("doc_id") % 22 > 0, "user").alias("role"), F.col("lang").alias("content")))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 50 > 0, F.concat(F.lit("sample_"), "doc_id")).alias("id"), F.when(F.col("doc_id") % 7 > 0, F.col("text")).alias("text"), F.when(F.col("doc_id") % 11 == 0, chat).alias("messages"))
+    text = F.when(F.col("doc_id") % 7 > 0, F.col("text")).when(F.col("doc_id") % 2 == 0, "")
+    images = F.when(F.col("doc_id") % 13 == 0, F.array(F.lit("a.png"), F.when(F.col("doc_id") % 26 > 0, "b.png")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 50 > 0, F.concat(F.lit("sample_"), "doc_id")).alias("id"), text.alias("text"), F.when(F.col("doc_id") % 11 == 0, chat).alias("messages"), images.alias("images"))
     return samples.violations(rows).select("doc_id", "error")
 
 
-@also_whole
-@query("SELECT substr(text, 1, 40) AS id, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
-def sample_duplicate_ids(spark, sf_dir, whole=False):
-    id_ = F.sha2(F.col("text").cast("binary"), 256) if whole else F.substring("text", 1, 40)
-    return samples.duplicate_ids(table(spark, sf_dir, "documents").select(id_.alias("id")))
+@query("SELECT sha256(text) AS id, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def sample_duplicate_ids(spark, sf_dir):
+    return samples.duplicate_ids(table(spark, sf_dir, "documents").select(F.sha2(F.col("text").cast("binary"), 256).alias("id")))
 
 
 @query("SELECT doc_id, CASE WHEN CAST('0x' || substr(sha1(format('sample_{:06d}', doc_id)), 1, 8) AS BIGINT) / 4294967295.0 < 0.1 THEN 'val' ELSE 'train' END AS split FROM documents")
@@ -267,25 +275,23 @@ def sample_chunk_assign(spark, sf_dir):
     return activations.with_chunks(table(spark, sf_dir, "embeddings").select("vec_id"), "vec_id", 64)
 
 
-WORD_LENGTHS = "list_transform(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')[1:12], lambda w: CAST(length(w) AS INTEGER))"
+WORD_LENGTHS = "list_transform(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> ''), lambda w: CAST(length(w) AS INTEGER))"
 
 
-def word_lengths(spark: SparkSession, sf_dir: str, whole: bool) -> DataFrame:
-    """Documents with the lengths of their words, all or the 12 that the SQL reads, as stand-in for token ids."""
+def word_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the lengths of their words as stand-in for token ids."""
     words = F.array_remove(F.split("text", r"[ \t\n\x0B\f\r]+"), "")
-    ids = F.transform(words if whole else F.slice(words, 1, 12), lambda w: F.length(w))
-    return table(spark, sf_dir, "documents").select("doc_id", "source", ids.alias("ids"))
+    return table(spark, sf_dir, "documents").select("doc_id", "source", F.transform(words, lambda w: F.length(w)).alias("ids"))
 
 
-@also_whole
 @query(f"""
     WITH d AS (SELECT doc_id, source, {WORD_LENGTHS} AS ids, CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 8 AS INTEGER) AS batch FROM documents),
     m AS (SELECT *, CAST(ceil(max(len(ids)) OVER (PARTITION BY source, batch) / 4.0) * 4 AS INTEGER) AS n FROM d)
     SELECT doc_id, batch, array_to_string(list_concat(ids, list_transform(range(n - len(ids)), lambda i: 0)), ' ') AS ids,
            array_to_string(list_concat(ids, list_transform(range(n - len(ids)), lambda i: -100)), ' ') AS labels, CAST(len(ids) AS BIGINT) AS valid FROM m
 """)
-def sample_batch_pad(spark, sf_dir, whole=False):
-    rows = samples.batches(word_lengths(spark, sf_dir, whole), F.col("doc_id"), 8, "source")
+def sample_batch_pad(spark, sf_dir):
+    rows = samples.batches(word_lengths(spark, sf_dir), F.col("doc_id"), 8, "source")
     rows = samples.padded(rows, ["source", "batch"], "ids", multiple=4)
     text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), " ")
     return rows.select("doc_id", "batch", text("ids").alias("ids"), text("labels").alias("labels"), F.aggregate("attention_mask", F.lit(0), lambda a, v: a + v).cast("long").alias("valid"))
@@ -297,10 +303,9 @@ def sample_length_sorted_batches(spark, sf_dir):
     return samples.batches(rows, F.col("o"), 4, "source").select("doc_id", "source", "batch")
 
 
-@also_whole
 @query(f"SELECT doc_id, array_to_string(list_transform(ids, lambda v, i: CASE WHEN i % 2 = 0 THEN v ELSE -100 END), ' ') AS labels, array_to_string(list_transform(ids, lambda v, i: CASE WHEN i > len(ids) - 3 THEN v ELSE -100 END), ' ') AS tail FROM (SELECT doc_id, {WORD_LENGTHS} AS ids FROM documents)")
-def sample_label_mask(spark, sf_dir, whole=False):
-    rows = word_lengths(spark, sf_dir, whole)
+def sample_label_mask(spark, sf_dir):
+    rows = word_lengths(spark, sf_dir)
     mask = F.transform("ids", lambda _, i: i % 2)
     text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), " ")
     return rows.select("doc_id", text(samples.masked_labels(F.col("ids"), mask)).alias("labels"), text(samples.tail_labels(F.col("ids"), F.lit(3))).alias("tail"))
@@ -381,10 +386,11 @@ def act_pair_metrics(spark, sf_dir):
 
 
 @query(f"""{PAIRS} SELECT layer, next_layer, count(*) AS samples, round(avg(mse), 6) AS mean, round(coalesce(stddev_samp(mse), 0), 6) AS std, round(min(mse), 6) AS least, round(list_sort(list(mse)){RANK.format(q=0.5, v='list(mse)')}, 6) AS p50,
-    round(list_sort(list(mse)){RANK.format(q=0.95, v='list(mse)')}, 6) AS p95, round(max(mse), 6) AS most FROM m GROUP BY 1, 2""")
+    round(list_sort(list(mse)){RANK.format(q=0.9, v='list(mse)')}, 6) AS p90, round(list_sort(list(mse)){RANK.format(q=0.95, v='list(mse)')}, 6) AS p95, round(list_sort(list(mse)){RANK.format(q=0.99, v='list(mse)')}, 6) AS p99,
+    round(max(mse), 6) AS most FROM m GROUP BY 1, 2""")
 def act_pair_summary(spark, sf_dir):
     s = activations.summary(activations.pair_metrics(hidden(spark, sf_dir)), ["layer", "next_layer"], ["mse"])
-    names = {"mse_mean": "mean", "mse_std": "std", "mse_min": "least", "mse_p50": "p50", "mse_p95": "p95", "mse_max": "most"}
+    names = {"mse_mean": "mean", "mse_std": "std", "mse_min": "least", "mse_p50": "p50", "mse_p90": "p90", "mse_p95": "p95", "mse_p99": "p99", "mse_max": "most"}
     return s.select("layer", "next_layer", "samples", *(F.round(c, 6).alias(n) for c, n in names.items()))
 
 
@@ -449,23 +455,22 @@ def router_kl(spark, sf_dir):
     return routing.layer_mean(rows, "kl").select(F.round(F.col("kl") * 4, 6).alias("kl"))
 
 
-EXPERTS = "SELECT label AS layer, CAST(vec_id AS BIGINT) AS expert, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 200"
+EXPERTS = "SELECT label AS layer, CAST(vec_id AS BIGINT) AS expert, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
 SIMS = f"""
     WITH x AS ({EXPERTS}), s AS (SELECT d.layer, d.expert AS dropped, k.expert AS kept, list_dot_product(d.v, k.v) / (sqrt(list_dot_product(d.v, d.v)) * sqrt(list_dot_product(k.v, k.v))) AS sim
     FROM x d JOIN x k ON d.layer = k.layer WHERE d.expert % 2 = 1 AND k.expert % 2 = 0)
 """
 
 
-def experts(spark: SparkSession, sf_dir: str, whole: bool) -> tuple[DataFrame, DataFrame]:
-    """Embeddings, all or those that the SQL reads, as experts of their label's layer: odd ids dropped, even ids kept."""
-    rows = table(spark, sf_dir, "embeddings").where(F.lit(True) if whole else F.col("vec_id") < 200).select(F.col("label").alias("layer"), F.col("vec_id").alias("expert"), F.col("embedding").alias("vec"))
+def experts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Embeddings as experts of their label's layer: odd ids dropped, even ids kept."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("layer"), F.col("vec_id").alias("expert"), F.col("embedding").alias("vec"))
     return rows.where("expert % 2 = 1"), rows.where("expert % 2 = 0")
 
 
-@also_whole
 @query(SIMS + "SELECT layer, dropped, kept, round(sim, 6) AS sim, round(exp((sim - max(sim) OVER w) / 0.1) / sum(exp(sim / 0.1)) OVER w * exp(max(sim) OVER w / 0.1), 6) AS w FROM s WINDOW w AS (PARTITION BY layer, dropped)")
-def merge_cosine_weights(spark, sf_dir, whole=False):
-    sims = matching.softmax_weights(matching.similarities(*experts(spark, sf_dir, whole)), 0.1)
+def merge_cosine_weights(spark, sf_dir):
+    sims = matching.softmax_weights(matching.similarities(*experts(spark, sf_dir)), 0.1)
     return sims.select("layer", "dropped", "kept", F.round("sim", 6).alias("sim"), F.round("w", 6).alias("w"))
 
 
@@ -475,14 +480,11 @@ def merge_alpha_scale(spark, sf_dir):
     return matching.alpha_scale(usage, usage.where("expert % 3 = 0").select("layer", "expert")).withColumn("scale", F.round("scale", 6))
 
 
-def neurons(spark: SparkSession, sf_dir: str, whole: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+def neurons(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Each expert's vector as four unit neurons of 16 elements; hosts by whole-expert similarity."""
-    dropped, kept = experts(spark, sf_dir, whole)
-
-    def unit(i):
-        part = F.slice("vec", F.lit(1 + 16 * i), F.lit(16))
-        return F.transform(part, lambda y: y.cast("double") / F.greatest(x.norm(part), F.lit(1e-12)))
+    dropped, kept = experts(spark, sf_dir)
 
+    unit = lambda i: x.bound(F.slice("vec", F.lit(1 + 16 * i), F.lit(16)), x.unit)
     cut = lambda d: d.select("layer", "expert", F.posexplode(F.array(*map(unit, range(4)))).alias("neuron", "vec"))
     return cut(dropped), cut(kept), matching.hosts(matching.similarities(dropped, kept))
 
@@ -495,30 +497,27 @@ MATCHES = SIMS + """, h AS (SELECT layer, dropped, max_by(kept, (sim, -kept)) AS
 """
 
 
-@also_whole
 @query(MATCHES + "SELECT layer, dropped, neuron, host, host_neuron, round(sim, 6) AS sim, hosted FROM b")
-def merge_local_match(spark, sf_dir, whole=False):
-    return matching.local_matches(*neurons(spark, sf_dir, whole), 0.2).withColumn("sim", F.round("sim", 6))
+def merge_local_match(spark, sf_dir):
+    return matching.local_matches(*neurons(spark, sf_dir), 0.2).withColumn("sim", F.round("sim", 6))
 
 
-@also_whole
 @query(MATCHES + """SELECT n.layer, CAST(least(coalesce(g.guests, 0), 4) AS INTEGER) AS load, count(*) AS n FROM n LEFT JOIN (SELECT layer, host, host_neuron, count(*) AS guests FROM b WHERE hosted GROUP BY 1, 2, 3) g
     ON g.layer = n.layer AND g.host = n.expert AND g.host_neuron = n.neuron WHERE n.expert % 2 = 0 GROUP BY 1, 2""")
-def merge_host_load_histogram(spark, sf_dir, whole=False):
-    dropped, kept, host = neurons(spark, sf_dir, whole)
+def merge_host_load_histogram(spark, sf_dir):
+    dropped, kept, host = neurons(spark, sf_dir)
     places = kept.select("layer", F.col("expert").alias("host"), F.col("neuron").alias("host_neuron"))
     return matching.load_histogram(matching.local_matches(dropped, kept, host, 0.2), places)
 
 
-@also_whole
-@query(MATCHES + "SELECT layer, count(*) AS total, count(*) FILTER (hosted) AS hosted, count(*) FILTER (NOT hosted) AS below, round(coalesce(avg(sim) FILTER (hosted), 0), 6) AS sim_mean, round(coalesce(quantile_cont(sim, 0.1) FILTER (hosted), 0), 6) AS sim_p10, round(coalesce(quantile_cont(sim, 0.9) FILTER (hosted), 0), 6) AS sim_p90 FROM b GROUP BY layer")
-def merge_stats(spark, sf_dir, whole=False):
-    stats = matching.match_stats(matching.local_matches(*neurons(spark, sf_dir, whole), 0.2))
+@query(MATCHES + "SELECT layer, count(*) AS total, count(*) FILTER (hosted) AS hosted, count(*) FILTER (NOT hosted) AS below, round(coalesce(avg(sim) FILTER (hosted), 0), 6) AS sim_mean, round(coalesce(quantile_cont(sim, 0.1) FILTER (hosted), 0), 6) AS sim_p10, round(coalesce(quantile_cont(sim, 0.9) FILTER (hosted), 0), 6) AS sim_p90, coalesce(max(guests), 0) AS max_load FROM (SELECT *, count(*) FILTER (hosted) OVER (PARTITION BY layer, host, host_neuron) AS guests FROM b) GROUP BY layer")
+def merge_stats(spark, sf_dir):
+    stats = matching.match_stats(matching.local_matches(*neurons(spark, sf_dir), 0.2))
     return stats.withColumns({c: F.round(c, 6) for c in ("sim_mean", "sim_p10", "sim_p90")})
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dropped, kept, _ = neurons(spark, sf_dir, True)
+    dropped, kept, _ = neurons(spark, sf_dir)
     d = dropped.select((F.col("expert") * 4 + F.col("neuron")).alias("row"), "vec")
     k = kept.select((F.col("expert") * 4 + F.col("neuron")).alias("col"), "vec")
     return matching.top_candidates(d, k, 8).withColumn("layer", F.lit(0))
@@ -534,13 +533,12 @@ def merge_block_match(spark, sf_dir):
     return matching.block_matching(candidates(spark, sf_dir), "layer", 128)
 
 
-@also_whole
 @query(SIMS + """, z AS (SELECT *, exp(sim / 0.1) / sum(exp(sim / 0.1)) OVER (PARTITION BY layer, dropped) AS w FROM s),
     e AS (SELECT layer, expert, CAST(i - 1 AS INTEGER) AS i, v[i] AS y FROM x, unnest(range(1, 65)) u(i))
     SELECT k.layer, k.expert AS kept, k.i, round(k.y + 0.5 * coalesce(sum(z.w * d.y), 0), 6) AS value FROM e k LEFT JOIN z ON z.layer = k.layer AND z.kept = k.expert LEFT JOIN e d ON d.layer = z.layer AND d.expert = z.dropped AND d.i = k.i
     WHERE k.expert % 2 = 0 GROUP BY k.layer, k.expert, k.i, k.y""")
-def merge_weighted_sum(spark, sf_dir, whole=False):
-    dropped, kept = experts(spark, sf_dir, whole)
+def merge_weighted_sum(spark, sf_dir):
+    dropped, kept = experts(spark, sf_dir)
     weights = matching.softmax_weights(matching.similarities(dropped, kept), 0.1)
     flat = lambda d: d.select("layer", "expert", F.posexplode("vec").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
     return matching.weighted_sums(flat(kept), flat(dropped), weights, 0.5).withColumn("value", F.round("value", 6))
@@ -601,22 +599,23 @@ def metric_hidden(spark, sf_dir):
     return found.select(*(F.round(c, 6).alias(c) for c in found.columns))
 
 
-@also_whole
 @query("""
     WITH RECURSIVE o AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events),
-    e AS (SELECT event_type, event_id, r, value AS ema FROM o WHERE r = 1 UNION ALL SELECT o.event_type, o.event_id, o.r, e.ema * 0.95 + o.value * 0.05 FROM e JOIN o ON o.event_type = e.event_type AND o.r = e.r + 1 WHERE o.r <= 200)
+    e AS (SELECT event_type, event_id, r, value AS ema FROM o WHERE r = 1 UNION ALL SELECT o.event_type, o.event_id, o.r, e.ema * 0.95 + o.value * 0.05 FROM e JOIN o ON o.event_type = e.event_type AND o.r = e.r + 1)
     SELECT event_type, event_id AS step, round(ema, 6) AS ema FROM e
 """)
-def metric_ema(spark, sf_dir, whole=False):
-    from pyspark.sql import Window
-
-    first = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) <= 200
-    rows = table(spark, sf_dir, "events")
-    rows = rows if whole else rows.withColumn("_f", first).where("_f")
-    return metrics.smoothed(rows, "event_type", "event_id", "value").select("event_type", "step", F.round("ema", 6).alias("ema"))
+def metric_ema(spark, sf_dir):
+    smoothed = metrics.smoothed(table(spark, sf_dir, "events"), "event_type", "event_id", "value")
+    return smoothed.select("event_type", "step", F.round("ema", 6).alias("ema"))
 
 
-@query()
+@query("""
+    WITH RECURSIVE o AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events),
+    e AS (SELECT event_type, r, event_id, value AS best, 0 AS waited FROM o WHERE r = 1
+          UNION ALL SELECT o.event_type, o.r, o.event_id, CASE WHEN o.value < e.best - 1e-6 THEN o.value ELSE e.best END, CASE WHEN o.value < e.best - 1e-6 THEN 0 ELSE e.waited + 1 END
+          FROM e JOIN o ON o.event_type = e.event_type AND o.r = e.r + 1 WHERE e.waited < 50)
+    SELECT event_type, CASE WHEN max(waited) >= 50 THEN max(event_id) END AS stop_step, min(best) AS best, CASE WHEN max(waited) >= 50 THEN 'patience' ELSE 'none' END AS reason FROM e GROUP BY event_type
+""")
 def metric_early_stop(spark, sf_dir):
     return metrics.early_stop(table(spark, sf_dir, "events"), "event_type", "event_id", "value", patience=50)
 
@@ -671,3 +670,6 @@ def manifest_reconcile(spark, sf_dir):
     SELECT directory, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, array_to_string(list_sort(list(path))[1:3], ',') AS examples FROM p GROUP BY 1""")
 def manifest_profile(spark, sf_dir):
     return files.profile(paths(spark, sf_dir)).withColumn("examples", F.array_join("examples", ","))
+
+
+from sluice.plans import extended  # noqa: E402, F401  more queries, registered in the same tables
