@@ -17,9 +17,12 @@ from sluice.plans import queries as library
 from sluice.sources import files, sinks
 
 
-@pytest.mark.parametrize(("spec", "layers", "n", "want"), [("all", 8, 1, list(range(8))), ("every_2", 8, 1, [0, 2, 4, 6]), ("every_n", 8, 3, [0, 3, 6]), ("0,3,5", 8, 1, [0, 3, 5]), ("block_4", 8, 1, [3, 7]), ("block_4", 40, 1, list(range(3, 40, 4)))])
+@pytest.mark.parametrize(("spec", "layers", "n", "want"), [("all", 8, 1, list(range(8))), ("every_2", 8, 1, [0, 2, 4, 6]), ("every_n", 8, 3, [0, 3, 6]), ("0,3,5", 8, 1, [0, 3, 5]), ("block_4", 8, 1, [3, 7]), ("block_4", 40, 1, list(range(3, 40, 4))), ("", 3, 1, [0, 1, 2]), (None, 2, 1, [0, 1]), ("[0,3,5]", 8, 1, [0, 3, 5]), ("3,0,3", 8, 1, [0, 3]), (" Every_Layer_Interval ", 8, 3, [0, 3, 6]), ("every_n", 3, 0, [0, 1, 2]), ("every_0", 2, 1, [0, 1])])
 def test_layer_spec(spec, layers, n, want):
     assert x.layer_spec(spec, layers, n) == want
+    for bad in ("some", "3", "a,b", "every_x"):
+        with pytest.raises(ValueError):
+            x.layer_spec(bad, 8)
 
 
 def test_split_is_disjoint_and_stable(spark):
@@ -194,18 +197,18 @@ def test_merge_queries_read_every_embedding(spark):
         sims = np.array([unit[d] @ unit[k] for k in kept])
         raised = np.exp((sims - sims.max()) / 0.1)
         want |= {(d, k): (s, w) for k, s, w in zip(kept, sims, raised / raised.sum(), strict=True)}
-    got = {(r.dropped, r.kept): (r.sim, r.w) for r in library.QUERIES["merge_cosine_weights_all"](spark, data).collect()}
+    got = {(r.dropped, r.kept): (r.sim, r.w) for r in library.QUERIES["merge_cosine_weights"](spark, data).collect()}
     assert got.keys() == want.keys() and max(i for i, _ in got) > 200
     assert all(np.allclose(got[i], want[i], atol=2e-6) for i in want)
 
     neurons = 4 * sum(i % 2 for i in unit)
-    matches = library.QUERIES["merge_local_match_all"](spark, data).collect()
+    matches = library.QUERIES["merge_local_match"](spark, data).collect()
     assert len(matches) == neurons
     hosts = {d: max((s, -k) for (e, k), (s, _) in want.items() if e == d) for d in {d for d, _ in want}}
     assert {(r.dropped, r.host) for r in matches} == {(d, -k) for d, (_, k) in hosts.items()}
-    assert sum(r.total for r in library.QUERIES["merge_stats_all"](spark, data).collect()) == neurons
-    assert sum(r.n for r in library.QUERIES["merge_host_load_histogram_all"](spark, data).collect()) == 4 * sum(1 - i % 2 for i in unit)
-    assert library.QUERIES["merge_weighted_sum_all"](spark, data).count() == 64 * sum(1 - i % 2 for i in unit)
+    assert sum(r.total for r in library.QUERIES["merge_stats"](spark, data).collect()) == neurons
+    assert sum(r.n for r in library.QUERIES["merge_host_load_histogram"](spark, data).collect()) == 4 * sum(1 - i % 2 for i in unit)
+    assert library.QUERIES["merge_weighted_sum"](spark, data).count() == 64 * sum(1 - i % 2 for i in unit)
 
     part = {4 * i + n: v[16 * n : 16 * n + 16] / np.linalg.norm(v[16 * n : 16 * n + 16]) for i, v in unit.items() for n in range(4)}
     d, k = ([i for i in sorted(part) if i // 4 % 2 == odd] for odd in (1, 0))
@@ -242,13 +245,13 @@ def test_sample_queries_read_whole_texts(spark):
             for i in ids[at : at + 8]:
                 own = lengths[i]
                 want[i] = at // 8, " ".join(map(str, own + [0] * (to - len(own)))), " ".join(map(str, own + [-100] * (to - len(own)))), len(own)
-    assert {r.doc_id: (r.batch, r.ids, r.labels, r.valid) for r in library.QUERIES["sample_batch_pad_all"](spark, data).collect()} == want
+    assert {r.doc_id: (r.batch, r.ids, r.labels, r.valid) for r in library.QUERIES["sample_batch_pad"](spark, data).collect()} == want
 
     masked = {i: (" ".join(str(n if p % 2 else -100) for p, n in enumerate(own)), " ".join(str(n if p >= len(own) - 3 else -100) for p, n in enumerate(own))) for i, own in lengths.items()}
-    assert {r.doc_id: (r.labels, r.tail) for r in library.QUERIES["sample_label_mask_all"](spark, data).collect()} == masked
+    assert {r.doc_id: (r.labels, r.tail) for r in library.QUERIES["sample_label_mask"](spark, data).collect()} == masked
 
     counts = Counter(hashlib.sha256(r.text.encode()).hexdigest() for r in rows)
-    got = library.QUERIES["sample_duplicate_ids_all"](spark, data).collect()
+    got = library.QUERIES["sample_duplicate_ids"](spark, data).collect()
     assert {r.id: r.n for r in got} == {k: n for k, n in counts.items() if n > 1}
 
 
@@ -272,7 +275,7 @@ def test_smoothed_is_a_sequential_loop(spark, joined):
     data = "/root/testdata/sf0.01"
     events = [(r.event_type, r.event_id, r.value) for r in spark.read.parquet(f"{data}/events.parquet").select("event_type", "event_id", "value").collect()]
     assert len(events) == 10_000
-    same({(r.event_type, r.step): r.ema for r in library.QUERIES["metric_ema_all"](spark, data).collect()}, loop(events))
+    same({(r.event_type, r.step): r.ema for r in library.QUERIES["metric_ema"](spark, data).collect()}, loop(events))
 
     odd = [("a", i, None if i in (0, 5, 6, 700, 999) else float(i % 13)) for i in range(1000)] + [("b", 3, 2.0), ("c", 1, None), ("c", 2, 4.0)]
     df = spark.createDataFrame(odd, "g string, s long, v double").repartition(7)
