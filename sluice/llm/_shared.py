@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import atexit
 import bisect
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ WORD_CLASS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 #: Rows and bytes of one Arrow batch between the JVM and a Python worker.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 #: The scratch folders that are still there, in the order they were made.
 _made: list[str] = []
@@ -51,6 +53,23 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """`run` for mapInArrow; after each partition the worker gives freed memory back to the system.
+
+    Workers live on from task to task, and what their allocators keep counts against the executor.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass  # another C library
+
+    return wrapped
+
+
 def _delete(spark: SparkSession, folders: Sequence[str]) -> None:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for folder in folders:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm._shared import bound_batches
+from sluice.llm._shared import bound_batches, released
 
 CHUNK, OVERLAP = 16_384, 512
 
@@ -130,8 +130,8 @@ def stitched_runs(long_texts: DataFrame, ranks_path: str, chunk: int = CHUNK, ov
     Chunks are dealt out by the aggregate that counts rows equal in doc_id and text.
     """
     plain = "doc_id long, key string, piece int, text string"
-    chunks = long_texts.mapInPandas(_cut(chunk, overlap), plain).groupBy("doc_id", "key", "piece").agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"))
-    cut = chunks.select("doc_id", "key", "copies", "piece", "text").mapInPandas(_pretokenise(ranks_path, chunk, overlap), _PIECE)
+    chunks = long_texts.mapInPandas(released(_cut(chunk, overlap)), plain).groupBy("doc_id", "key", "piece").agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"))
+    cut = chunks.select("doc_id", "key", "copies", "piece", "text").mapInPandas(released(_pretokenise(ranks_path, chunk, overlap)), _PIECE)
     order = Window.partitionBy("doc_id", "key").orderBy("piece")
     # where this chunk starts and ends, from its own start; null: no boundary that both sides found
     begin = F.when(F.col("piece") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect("starts", F.lag("tail").over(order))))
@@ -149,8 +149,8 @@ def round_trip(documents: DataFrame, ranks_path: str, chunk: int = CHUNK, overla
     """Encode documents(doc_id, text), decode the ids again, return counts and digests of both."""
     bound_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    short = rows.where(F.length("text") <= chunk).mapInArrow(_whole(ranks_path), _RESULT)
+    short = rows.where(F.length("text") <= chunk).mapInArrow(released(_whole(ranks_path)), _RESULT)
     long_texts = rows.where(F.length("text") > chunk).select("doc_id", F.sha2("text", 256).alias("key"), "text")
     runs = stitched_runs(long_texts, ranks_path, chunk, overlap)
-    ids = runs.repartition("key", "run").mapInArrow(_encode_runs(ranks_path), _IDS)
+    ids = runs.repartition("key", "run").mapInArrow(released(_encode_runs(ranks_path)), _IDS)
     return short.unionByName(ids.groupBy("doc_id", "key").applyInPandas(_together(ranks_path), _RESULT))

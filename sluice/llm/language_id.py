@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm._shared import bound_batches
+from sluice.llm._shared import bound_batches, released
 
 #: Hash buckets, centroids a language, most texts sampled for a language.
 BUCKETS, CENTROIDS, SAMPLE = 4096, 4, 600
@@ -110,7 +110,7 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
         return Model([], np.zeros(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), np.zeros(0))
     chosen = F.broadcast(rows.sparkSession.createDataFrame(chosen, "lang string, h long"))
     picked = rows.join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
-    got = sorted((r["lang"], bytes(r["counts"])) for r in picked.select("lang", "text").mapInArrow(_count, "lang string, counts binary").collect())
+    got = sorted((r["lang"], bytes(r["counts"])) for r in picked.select("lang", "text").mapInArrow(released(_count), "lang string, counts binary").collect())
     languages = sorted({lang for lang, _ in got})
     x = np.frombuffer(b"".join(c for _, c in got), "<f4").reshape(len(got), BUCKETS)
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)

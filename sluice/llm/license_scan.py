@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm._shared import WORD_CLASS, bound_batches
+from sluice.llm._shared import WORD_CLASS, bound_batches, released
 
 #: The phrases that always label a text.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -219,4 +219,4 @@ def scan(documents: DataFrame) -> DataFrame:
     """Labels, places and covered template spans of every text of documents(doc_id, text)."""
     bound_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    return rows.mapInArrow(_scan, _RESULT)
+    return rows.mapInArrow(released(_scan), _RESULT)

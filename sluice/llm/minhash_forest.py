@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm._shared import bound_batches, materialise, running_order, scratch, unused
+from sluice.llm._shared import bound_batches, materialise, released, running_order, scratch, unused
 from sluice.llm.components import components
 
 #: Trees, values of a tree's key, least shared prefix, rows of a region that is cut deeper.
@@ -152,7 +152,7 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
     rows = classes.select("node", F.posexplode(slices).alias("tree", "key")).select("tree", "key", "node")
     order = ["tree", "key", "node"]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    walked = materialise(ranged.mapInArrow(_walk, "kind int, tree int, key binary, a long, b long"), "forest")
+    walked = materialise(ranged.mapInArrow(released(_walk), "kind int, tree int, key binary, a long, b long"), "forest")
     # two rows per range: the last of one and the first of the next may belong to one region
     ends = walked.where("kind > 0")
     before = Window.partitionBy("tree").orderBy("key", "a", "kind")
@@ -217,7 +217,7 @@ def confirmed_edges(groups: DataFrame, texts: DataFrame, n: int, num: int, den:
 
     def confirm(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
         sorted_rows = rows.repartition(*keys).sortWithinPartitions(*keys, *order, "node").select(*keys, "node", "text")
-        return sorted_rows.mapInArrow(_confirm(n, num, den, len(keys)), "a long, b long")
+        return sorted_rows.mapInArrow(released(_confirm(n, num, den, len(keys))), "a long, b long")
 
     found = materialise(confirm(texts.where(F.col("size") <= BLOCK), ["component"]), "links")
     large = texts.where(F.col("size") > BLOCK).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
@@ -228,7 +228,7 @@ def confirmed_edges(groups: DataFrame, texts: DataFrame, n: int, num: int, den:
 
 def _confirm_large(large: DataFrame, n: int, confirm) -> DataFrame:
     """Links within groups of more than BLOCK rows."""
-    signed = materialise(large.select("node", F.col("text")).mapInArrow(_sign(n), _SIGNED).select(F.col("doc_id").alias("node"), "signature"), "signed")
+    signed = materialise(large.select("node", F.col("text")).mapInArrow(released(_sign(n)), _SIGNED).select(F.col("doc_id").alias("node"), "signature"), "signed")
     values = large.select("component", "node").join(signed, "node").select("component", "node", F.posexplode(F.array(*(F.substring("signature", 4 * DEPTH * t + 1, 4) for t in range(TREES)))).alias("tree", "value"))
     common = materialise(values.groupBy("component", "tree", "value").agg(F.count(F.lit(1)).alias("agree")), "common")  # written, so that the join's sides are dealt out by themselves and a frequent value can be split
     rated = values.join(common, ["component", "tree", "value"]).groupBy("component", "node").agg(F.sum("agree").alias("agree"))
@@ -264,7 +264,7 @@ def near_duplicates(documents: DataFrame, n: int = 3, num: int = 85, den: int =
     """
     bound_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    signed = materialise(rows.mapInArrow(_sign(n), _SIGNED), "signed")
+    signed = materialise(rows.mapInArrow(released(_sign(n)), _SIGNED), "signed")
     usable = signed.where("digest is not null and doc_id is not null")
     classes = materialise(usable.groupBy("digest").agg(F.min(F.struct("doc_id", "signature")).alias("x")).select("digest", F.col("x.doc_id").alias("node"), F.col("x.signature").alias("signature")), "classes")
     groups = components(candidate_edges(classes.select("node", "signature")))

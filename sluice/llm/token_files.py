@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm._shared import Commit, bound_batches, file_system, materialise, new_folder, shard_bounds, shard_of
+from sluice.llm._shared import Commit, bound_batches, file_system, materialise, new_folder, released, shard_bounds, shard_of
 
 SEQUENCE, ROWS_PER_BATCH, SHARD_CHARS, END_ID = 2048, 64, 16 << 20, 0  # a sequence is a multiple of 8
 #: Bounds of the two memos of an executor's Python worker.
-MOST_PRETOKENS, MOST_PIECES = 600_000, 250_000
+MOST_PRETOKENS, MOST_PIECES = 300_000, 150_000
 
 _MANIFEST = "shard int, file string, docs_file string, tokens long, sequences long, documents long"
 _RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long, shard int"
@@ -171,7 +171,7 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer: str, end_id:
     slim = materialise(text.select("doc_id", (F.octet_length("text") + 1).cast("long").alias("weight")), "token-slim")
     bounds = shard_bounds(slim, "doc_id", "weight", shard_chars, "token-order")
     ordered = text.withColumn("shard", shard_of(F.col("doc_id"), bounds)).repartitionById(max(1, len(bounds)), F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_last(), "text").select("shard", "doc_id", "text")
-    shards = sorted((r.asDict() for r in ordered.mapInArrow(_writer(folder, tokenizer, end_id, dtype, sequence, rows_per_batch), _MANIFEST).collect()), key=lambda r: r["shard"])
+    shards = sorted((r.asDict() for r in ordered.mapInArrow(released(_writer(folder, tokenizer, end_id, dtype, sequence, rows_per_batch)), _MANIFEST).collect()), key=lambda r: r["shard"])
     before = 0
     for s in shards:
         s["start"], before = before, before + s["tokens"]
@@ -233,7 +233,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_token_files(spark: SparkSession, folder: str, shards: list[dict]) -> DataFrame:
     """One row per document of the manifest's shards, from the files alone."""
     rows = [(f"{folder}/{s['file']}", f"{folder}/{s['docs_file']}", s["start"], s["shard"]) for s in shards]
-    return spark.createDataFrame(rows, "path string, docs_path string, start long, shard int").repartition(max(1, len(rows))).mapInArrow(_read, _RESULT)
+    return spark.createDataFrame(rows, "path string, docs_path string, start long, shard int").repartition(max(1, len(rows))).mapInArrow(released(_read), _RESULT)
 
 
 def token_round_trip(spark: SparkSession, documents: DataFrame, tokenizer: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm._shared import bound_batches, materialise, scratch
+from sluice.llm._shared import bound_batches, materialise, released, scratch
 from sluice.llm.license_scan import words_of
 
 #: Weight of the prior, least texts of a feature, least likelihood ratio (twice the logarithm).
@@ -145,7 +145,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _feature_counts(train: DataFrame) -> DataFrame:
     columns = ["clean0", "toxic0", "clean1", "toxic1"]
-    found = train.select("text", "toxic", "part").mapInArrow(_counts, "feature binary, " + ", ".join(f"{c} long" for c in columns))
+    found = train.select("text", "toxic", "part").mapInArrow(released(_counts), "feature binary, " + ", ".join(f"{c} long" for c in columns))
     return found.groupBy("feature").agg(*(F.sum(c).alias(c) for c in columns))
 
 
@@ -188,7 +188,7 @@ def _set_scales(models: list[Model], clean: DataFrame) -> None:
     """The scale of each model from the words of all distinct clean texts; a score has three decimals, so few rows come back."""
     distinct = clean.select("text", F.xxhash64("text").alias("h"), F.length("text").alias("l")).dropDuplicates(["h", "l"])
     cast = clean.sparkSession.sparkContext.broadcast(models)
-    rows = distinct.select("text").mapInArrow(_word_scores(cast), "model int, score double, n long").groupBy("model", "score").agg(F.sum("n").alias("n")).collect()
+    rows = distinct.select("text").mapInArrow(released(_word_scores(cast)), "model int, score double, n long").groupBy("model", "score").agg(F.sum("n").alias("n")).collect()
     for i, model in enumerate(models):
         model.scale = _scale({r["score"]: r["n"] for r in rows if r["model"] == i})
 
@@ -250,7 +250,7 @@ def fit(train: DataFrame) -> Model:
     apart = Model(_log_odds(counts.select("feature", F.col("clean0").alias("clean"), F.col("toxic0").alias("toxic")), *others) if all(others) else model.weights)
     _set_scales([model, apart], train.where("toxic = 0"))
     once = train.where("part = 1").groupBy(F.xxhash64("text").alias("h"), "toxic").agg(F.first("text").alias("text"))
-    rows = once.select("text", "toxic").mapInArrow(_evidence(spark.sparkContext.broadcast(apart)), "x double, y int").collect()
+    rows = once.select("text", "toxic").mapInArrow(released(_evidence(spark.sparkContext.broadcast(apart))), "x double, y int").collect()
     x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], float)
     if not len(x) or y.min() == y.max():
         x, y = np.append(x, [0.0, 10.0]), np.append(y, [0.0, 1.0])
@@ -305,4 +305,4 @@ def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").withColumn("fold", fold).where("fold != 0")
     known = F.broadcast(known) if known.count() <= BROADCAST_LABELS else known
     model = fit(rows.join(known, "doc_id"))
-    return rows.select("doc_id", (fold == 0).alias("held_out"), "text").mapInArrow(_score(text_model(model)), "doc_id long, held_out boolean, score double, predicted int, n_passages long")
+    return rows.select("doc_id", (fold == 0).alias("held_out"), "text").mapInArrow(released(_score(text_model(model))), "doc_id long, held_out boolean, score double, predicted int, n_passages long")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm._shared import Commit, bound_batches, file_system, materialise, new_folder, shard_bounds, shard_of
+from sluice.llm._shared import Commit, bound_batches, file_system, materialise, new_folder, released, shard_bounds, shard_of
 
 #: Payload bytes per shard and compressed bytes per file.
 SHARD_BYTES, ROLL_BYTES = 32 << 20, 8 << 20
@@ -138,7 +138,7 @@ def write_archives(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES
         .sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "digest", "kind", "url")
         .select("shard", "page_id", "digest", "kind", "url", "payload", "target")
     )
-    files = sorted((r.asDict() for r in ordered.mapInArrow(_writer(folder, roll_bytes), _MANIFEST).collect()), key=lambda r: (r["shard"], r["part"]))
+    files = sorted((r.asDict() for r in ordered.mapInArrow(released(_writer(folder, roll_bytes)), _MANIFEST).collect()), key=lambda r: (r["shard"], r["part"]))
     Commit(folder).text("manifest.json", json.dumps({"format": "WARC/1.1", "files": files}))
     return files
 
@@ -190,7 +190,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(spark: SparkSession, folder: str, files: list[dict]) -> DataFrame:
     """The records of a manifest's files, one task for a few files; digests are checked on the way."""
     paths = spark.createDataFrame([(f"{folder}/{f['file']}",) for f in files], "path string").repartition(max(1, len(files)))
-    return paths.mapInArrow(_read, _RECORDS)
+    return paths.mapInArrow(released(_read), _RECORDS)
 
 
 def archive_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
