@@ -7,8 +7,8 @@ position. Consecutive units that an earlier place already holds form a passage,
 offsets in the original text. A caller that wants to keep stock phrases asks for passages of `min_words`
 words at least; without it every repeated unit goes.
 
-Units are aggregated by digest with map-side combination, then joined to the few digests that occur
-twice, a join that Spark may split where one digest is very frequent.
+Units are aggregated by digest with map-side combination; the digests that occur twice are written, so that
+the join to them deals out both its sides itself and Spark may split it where one digest is very frequent.
 
 Defined cases: a null or blank text has no units; rows without a doc_id rank last; rows equal in doc_id
 and text count as one document; a text that is removed completely becomes an empty text (the caller
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm._shared import bound_batches, materialise, scratch, unused
+from sluice.llm._shared import bound_batches, materialise, released, scratch, unused
 
 #: Words of a passage that the query and the pipeline remove, at least.
 MIN_WORDS = 20
@@ -83,12 +83,13 @@ def repeated_passages(documents: DataFrame, min_words: int = 0) -> DataFrame:
     """
     bound_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("doc_key"), "text").where("text is not null")
-    found = materialise(rows.mapInArrow(_split, _UNITS), "units")
+    found = materialise(rows.mapInArrow(released(_split), _UNITS), "units")
     if not found.where("pos = 0").groupBy("doc_id", "doc_key").count().where("count > 1").isEmpty():
         found = found.dropDuplicates(["doc_id", "doc_key", "pos"])  # equal rows are one document
     place = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "doc_key", "pos")
     first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first")
-    later = found.join(first, ["h1", "h2"]).where(place != F.col("first")).select("doc_id", "doc_key", "pos", "start", "end", "words", F.nullif("first.doc", F.lit(_LAST)).alias("first_doc_id"))
+    first = materialise(first, "first")
+    later = found.join(F.broadcast(first) if first.count() <= BROADCAST_ROWS else first, ["h1", "h2"]).where(place != F.col("first")).select("doc_id", "doc_key", "pos", "start", "end", "words", F.nullif("first.doc", F.lit(_LAST)).alias("first_doc_id"))
     order = Window.partitionBy("doc_id", "doc_key").orderBy("pos")
     runs = later.withColumn("run", F.col("pos") - F.row_number().over(order))
     passages = runs.groupBy("doc_id", "doc_key", "run").agg(
