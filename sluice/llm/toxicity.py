@@ -22,6 +22,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -127,6 +128,14 @@ class Model:
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of each class and part (0: the others, 1: calibrating) with each feature, flushed before the counters grow too large."""
     four = tuple(Counter() for _ in range(4))
+    memo: dict[bytes, list[bytes]] = {}
+
+    def of(word: bytes) -> list[bytes]:
+        if (found := memo.get(word)) is None:
+            found = features(word)
+            if len(memo) < _MEMO:
+                memo[word] = found
+        return found
 
     def out():
         names = list(set().union(*four))
@@ -137,7 +146,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text, toxic, part in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            four[2 * part + toxic].update({f for w in set(words_of(text.as_py())) for f in features(w)})
+            four[2 * part + toxic].update(set(chain.from_iterable(map(of, set(words_of(text.as_py()))))))
             if sum(map(len, four)) > _FLUSH:
                 yield out()
     yield out()
@@ -174,11 +183,20 @@ def _word_scores(models_cast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = models_cast.value
         found: Counter = Counter()
+        words: Counter = Counter()
+
+        def count():
+            for w, n in words.items():
+                for i, model in enumerate(models):
+                    found[i, round(model.word(w), 3)] += n
+            words.clear()
+
         for batch in batches:
             for text in batch.column(0):
-                for w, n in Counter(words_of(text.as_py())).items():
-                    for i, model in enumerate(models):
-                        found[i, round(model.word(w), 3)] += n
+                words.update(words_of(text.as_py()))
+                if len(words) > _FLUSH:
+                    count()
+        count()
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.int32()), pa.array([k[1] for k in found], pa.float64()), pa.array(list(found.values()), pa.int64())], names=["model", "score", "n"])
 
     return run
