@@ -73,8 +73,9 @@ def hashes(sketch: Column) -> Column:
     return F.transform(sketch, lambda x: x["hash"])
 
 
-def as_text(sketch: Column) -> Column:
-    return F.array_join(F.transform(sketch, lambda x: F.lpad(F.lower(F.hex(x["hash"].bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))), 8, "0")), "")
+def as_text(found: Column) -> Column:
+    """The hashes of a sketch, eight digits each."""
+    return F.array_join(F.transform(found, lambda x: F.lpad(F.lower(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))), 8, "0")), "")
 
 
 def with_alignment(df: DataFrame, a: str, b: str, shift: str, share: str) -> DataFrame:
@@ -134,17 +135,19 @@ def edited_fingerprints(documents: DataFrame) -> DataFrame:
     both = both.select("d", "h", "n", "copies", "nd", "nh", "own", "edited")
     for text, to in (("own", "a"), ("edited", "b")):
         both = with_sketch(with_anchors(both, text, f"{to}_anchors"), f"{to}_anchors", to).drop(f"{to}_anchors")
-    made = materialise(both.select("d", "h", "n", "copies", "nd", "nh", F.sha2("edited", 256).alias("edited_sha256"), "a", "b"), "fingerprints")
-    other = made.select(F.col("d").alias("nd"), F.col("h").alias("nh"), hashes(F.col("a")).alias("c"))
-    found = with_alignment(made, "a", "b", "shift_edited", "aligned_edited").join(other, ["nd", "nh"]).withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    both = with_alignment(both, "a", "b", "shift_edited", "aligned_edited")
+    made = both.select("d", "h", "n", "copies", "nd", "nh", F.sha2("edited", 256).alias("edited_sha256"), hashes(F.col("a")).alias("a"), hashes(F.col("b")).alias("b"), "shift_edited", "aligned_edited")
+    made = materialise(made, "fingerprints")
+    other = made.select(F.col("d").alias("nd"), F.col("h").alias("nh"), F.col("a").alias("c"))
+    found = made.join(other, ["nd", "nh"]).withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
     return found.select(
         F.when(F.col("d") != _NO_ID, F.col("d")).alias("doc_id"),
         F.col("n").alias("n_chars"),
         "edited_sha256",
         as_text(F.col("a")).alias("fingerprint"),
         as_text(F.col("b")).alias("edited_fingerprint"),
-        likeness(hashes(F.col("a")), hashes(F.col("b"))).alias("near_edited"),
-        likeness(hashes(F.col("a")), F.col("c")).alias("near_next"),
+        likeness(F.col("a"), F.col("b")).alias("near_edited"),
+        likeness(F.col("a"), F.col("c")).alias("near_next"),
         "shift_edited",
         "aligned_edited",
     )
