@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Sequence
 
@@ -12,11 +13,16 @@ from pyspark.sql import functions as F
 from sluice.functions.expressions import bucket_of, shuffle_key
 
 
+#: The folders of intermediate tables that are still there.
+_folders: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local master without one gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
@@ -26,12 +32,33 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The rows written as Parquet in the shared folder and read again, which ends their lineage."""
+    """The rows written as Parquet in the shared folder and read again, which ends their lineage.
+
+    Results read such tables lazily, so they go when the program ends, or with drop_written.
+    """
     path = f"{shared_folder(df.sparkSession)}/sluice-{uuid.uuid4().hex}"
+    _folders.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> None:
+    """Delete every intermediate table of this program; results that are not written elsewhere go with them."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _folders:
+        path = jvm.org.apache.hadoop.fs.Path(_folders.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession() if _folders else None
+    if spark is not None and getattr(spark.sparkContext, "_jsc", None) is not None:
+        drop_written(spark)
+
+
+atexit.register(_at_exit)
+
+
 def length_capped(df: DataFrame, tokens: str, most: int) -> DataFrame:
     """Rows with at least one and at most `most` tokens."""
     return df.where((F.col(tokens) > 0) & (F.col(tokens) <= most))

@@ -1,6 +1,7 @@
 """Corpus building against sequential folds in plain Python."""
 
 import hashlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,3 +125,12 @@ def test_images(spark):
 def test_unknown_transform(spark):
     with pytest.raises(KeyError):
         transforms.apply("no such", spark.range(1))
+
+
+def test_intermediate_tables_can_be_deleted(spark):
+    rows = corpus.written(spark.range(3))
+    folder = rows.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    assert rows.count() == 3
+    corpus.drop_written(spark)
+    assert not Path(folder).exists()
+    assert not corpus._folders
