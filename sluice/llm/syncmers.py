@@ -24,6 +24,7 @@ from sluice.llm._shared import materialise
 K, S, SIZE = 4, 2, 48
 _DELIMITERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _NO_ID = -(1 << 63)
+_LOW = (1 << 32) - 1
 
 
 def with_anchors(df: DataFrame, text: str, to: str) -> DataFrame:
@@ -64,9 +65,13 @@ def with_anchors(df: DataFrame, text: str, to: str) -> DataFrame:
 def with_sketch(df: DataFrame, anchors: str, to: str) -> DataFrame:
     """Add column `to`: the SIZE smallest distinct 32-bit hashes of column `anchors`, each with its first place."""
     slim = f"_{to}_sorted"
-    df = df.withColumn(slim, F.array_sort(F.transform(anchors, lambda x: F.struct(F.shiftright(x["hash"], 32).cast("int").alias("hash"), x["pos"].alias("pos")))))
-    first = F.filter(slim, lambda x, i: (i == 0) | (F.get(F.col(slim), i - 1)["hash"] != x["hash"]))
-    return df.withColumn(to, F.slice(first, 1, SIZE)).drop(slim)
+    # one number each, the hash in its upper half: numbers sort without a comparator
+    packed = F.transform(anchors, lambda x: x["hash"].bitwiseAND(F.lit(~_LOW)).bitwiseOR(x["pos"].cast("long")))
+    df = df.withColumn(slim, F.sort_array(packed))
+    upper = lambda x: F.shiftright(x, 32).cast("int")
+    first = F.filter(slim, lambda x, i: (i == 0) | (upper(F.get(F.col(slim), i - 1)) != upper(x)))
+    kept = F.transform(F.slice(first, 1, SIZE), lambda x: F.struct(upper(x).alias("hash"), x.bitwiseAND(F.lit(_LOW)).cast("int").alias("pos")))
+    return df.withColumn(to, kept).drop(slim)
 
 
 def hashes(sketch: Column) -> Column:
@@ -86,7 +91,7 @@ def with_alignment(df: DataFrame, a: str, b: str, shift: str, share: str) -> Dat
     """
     where = F.map_from_arrays(hashes(F.col(b)), F.transform(b, lambda x: x["pos"]))
     df = df.withColumn("_there", where)
-    apart = F.array_sort(F.array_compact(F.transform(a, lambda x: F.try_element_at("_there", x["hash"]) - x["pos"])))
+    apart = F.sort_array(F.array_compact(F.transform(a, lambda x: F.try_element_at("_there", x["hash"]) - x["pos"])))
     df = df.withColumn("_apart", apart)
     df = df.withColumn(shift, F.get(F.col("_apart"), F.floor((F.size("_apart") - 1) / 2).cast("int")))
     agree = F.size(F.filter("_apart", lambda x: x == F.col(shift)))
@@ -95,7 +100,7 @@ def with_alignment(df: DataFrame, a: str, b: str, shift: str, share: str) -> Dat
 
 def likeness(a: Column, b: Column) -> Column:
     """The share of the SIZE smallest of both arrays of hashes that each of them holds, 0 to 1."""
-    both = F.slice(F.array_sort(F.array_union(a, b)), 1, SIZE)
+    both = F.slice(F.sort_array(F.array_union(a, b)), 1, SIZE)
     return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(F.array_intersect(both, a), b)) / F.size(both))
 
 
