@@ -7,8 +7,9 @@ position. Consecutive units that an earlier place already holds form a passage,
 offsets in the original text. A caller that wants to keep stock phrases asks for passages of `min_words`
 words at least; without it every repeated unit goes.
 
-Units are aggregated by digest with map-side combination; the digests that occur twice are written, so that
-the join to them deals out both its sides itself and Spark may split it where one digest is very frequent.
+Units are aggregated by digest with map-side combination. Digests that make up more than a FREQUENT-th of all
+units are fewer than FREQUENT by definition: they are broadcast, so that their units stay where they are. The
+others that occur twice are joined by a shuffle, in which no digest is frequent.
 
 Defined cases: a null or blank text has no units; rows without a doc_id rank last; rows equal in doc_id
 and text count as one document; a text that is removed completely becomes an empty text (the caller
@@ -30,7 +31,9 @@ from sluice.llm._shared import bound_batches, materialise, released, scratch, un
 
 #: Words of a passage that the query and the pipeline remove, at least.
 MIN_WORDS = 20
-#: Digests and documents with passages (rows of fixed width) up to this number are sent to every executor.
+#: Digests with more than this part of all units are joined by broadcast.
+FREQUENT = 1000
+#: Documents with passages up to this number are sent to every executor.
 BROADCAST_ROWS = 500_000
 _LAST = (1 << 63) - 1
 
@@ -87,9 +90,13 @@ def repeated_passages(documents: DataFrame, min_words: int = 0) -> DataFrame:
     if not found.where("pos = 0").groupBy("doc_id", "doc_key").count().where("count > 1").isEmpty():
         found = found.dropDuplicates(["doc_id", "doc_key", "pos"])  # equal rows are one document
     place = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "doc_key", "pos")
-    first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first")
+    first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     first = materialise(first, "first")
-    later = found.join(F.broadcast(first) if first.count() <= BROADCAST_ROWS else first, ["h1", "h2"]).where(place != F.col("first")).select("doc_id", "doc_key", "pos", "start", "end", "words", F.nullif("first.doc", F.lit(_LAST)).alias("first_doc_id"))
+    often = F.col("n") * FREQUENT > found.count()
+    frequent = F.broadcast(first.where(often).select("h1", "h2", "first"))  # fewer than FREQUENT rows
+    others = found.join(frequent.drop("first"), ["h1", "h2"], "left_anti").join(first.where(~often).select("h1", "h2", "first"), ["h1", "h2"])
+    both = found.join(frequent, ["h1", "h2"]).unionByName(others)
+    later = both.where(place != F.col("first")).select("doc_id", "doc_key", "pos", "start", "end", "words", F.nullif("first.doc", F.lit(_LAST)).alias("first_doc_id"))
     order = Window.partitionBy("doc_id", "doc_key").orderBy("pos")
     runs = later.withColumn("run", F.col("pos") - F.row_number().over(order))
     passages = runs.groupBy("doc_id", "doc_key", "run").agg(
