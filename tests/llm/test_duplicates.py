@@ -327,3 +327,14 @@ def test_all_near_copies_of_a_dense_group_are_found(spark):
     rows = [(i, edited(rng, base, rng.randint(1, 4))) for i in range(700)]  # more than a block
     got = [tuple(r) for r in minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(got) == sorted(brute_components(rows, 3, 85, 100))
+
+
+def test_frequent_units_and_others_give_the_same_passages(spark, monkeypatch):
+    rows = [(i, "a line that every text holds.\n" + f"a line of group {i % 4}.\n" + f"one of its own, {i}.") for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    results = []
+    for frequent in (1, 5, 1000):  # none, only the common line, every repeated one is frequent
+        monkeypatch.setattr(line_dedup, "FREQUENT", frequent)
+        results.append(sorted(map(tuple, line_dedup.repeated_passages(docs).collect())))
+    assert results[0] == results[1] == results[2]
+    assert {r[0] for r in results[0]} == set(range(1, 24))
