@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from sluice.llm._shared import Commit, bound_batches, file_system, materialise, new_folder, released, shard_bounds, shard_of
 
 SEQUENCE, ROWS_PER_BATCH, SHARD_CHARS, END_ID = 2048, 64, 16 << 20, 0  # a sequence is a multiple of 8
-#: Bounds of the two memos of an executor's Python worker.
-MOST_PRETOKENS, MOST_PIECES = 600_000, 250_000
+#: Bounds of the memos of an executor's Python worker: pieces behind a space, other pieces, pre-tokens of either.
+MOST_SPACED, MOST_PIECES, MOST_PRETOKENS = 500_000, 150_000, 200_000
 
 _MANIFEST = "shard int, file string, docs_file string, tokens long, sequences long, documents long"
 _RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long, shard int"
@@ -37,7 +37,8 @@ class MemoEncoder:
 
     A piece starts at a space. Where that space doesn't stand inside a run of white space, no pre-token
     of the pattern crosses its start and the pattern looks back at nothing, so pieces can be encoded
-    one by one; each pre-token in turn goes through the library's own model.
+    one by one, and the pieces of most texts are kept without their space; each pre-token in turn goes
+    through the library's own model.
     """
 
     def __init__(self, path: str, dtype: str):
@@ -54,21 +55,40 @@ class MemoEncoder:
         letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(shown))}
         table = str.maketrans({chr(b): c for b, c in letters.items()})
 
+        last = max(self.whole.get_vocab().values())
+        if last > np.iinfo(dtype).max:
+            raise ValueError(f"{dtype} doesn't hold the id {last}")
+        width, data = np.dtype(dtype).itemsize, np.arange(last + 1).astype(dtype).tobytes()
+        as_bytes = [data[i : i + width] for i in range(0, len(data), width)]
+
+        def ids_of(word: str) -> bytes:
+            shown = word.encode().decode("latin1").translate(table)
+            return b"".join([as_bytes[t.id] for t in model.tokenize(shown)])
+
         class Pretokens(dict):
             def __missing__(self, word):
-                ids = np.array([t.id for t in model.tokenize(word.encode().decode("latin1").translate(table))], dtype).tobytes()
+                ids = ids_of(word)
                 if len(self) < MOST_PRETOKENS and len(word) < 64:
                     self[word] = ids
                 return ids
 
         class Pieces(dict):
+            def __init__(self, lead: str, most: int):
+                self.lead, self.most = lead, most
+
             def __missing__(self, piece):
-                ids = b"".join(map(pretokens.__getitem__, find(piece)))
-                if len(self) < MOST_PIECES and len(piece) < 64:
+                word = _WORD.fullmatch(piece)
+                if not word:
+                    ids = b"".join(map(pretokens.__getitem__, find(self.lead + piece)))
+                elif word[2]:
+                    ids = self[word[1]] + pretokens[word[2]]
+                else:
+                    ids = ids_of(self.lead + piece)
+                if len(self) < self.most and len(piece) < 64:
                     self[piece] = ids
                 return ids
 
-        pretokens, self.pieces = Pretokens(), Pieces()
+        pretokens, self.pieces, self.spaced = Pretokens(), Pieces("", MOST_PIECES), Pieces(" ", MOST_SPACED)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian numbers of the encoder's type."""
@@ -76,12 +96,14 @@ class MemoEncoder:
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         if _RUN.search(text):  # runs of white space stay whole
             return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text)))
-        found, (first, *rest) = self.pieces, text.split(" ")
-        return found[first] + b"".join([found[" " + p] for p in rest])
+        first, *rest = text.split(" ")
+        return self.pieces[first] + b"".join(map(self.spaced.__getitem__, rest))
 
 
 #: A space inside a run of white space, and pieces that begin with a whole run.
 _RUN, _PIECES = re.compile(r"\s (?=\s|\Z)"), re.compile(r"\s*\S+|\s+")
+#: Latin letters with marks after them: a pre-token, and another if there are marks, for which the pattern isn't needed.
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]*)")
 _encoders: dict[tuple[str, str], MemoEncoder] = {}
 
 
