@@ -95,6 +95,22 @@ def test_pieces_agree_with_whole_texts():
         assert np.frombuffer(memo.encode(text), "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids == bpe.encode(text, RANKS)
 
 
+def test_words_with_marks_are_those_of_the_pattern():
+    memo, whole = token_files.MemoEncoder(JSON, "<u2"), Tokenizer.from_file(JSON)
+    latin = [chr(c) for c in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x251))]
+    rng = random.Random(6)
+    parts = ["Word", "don't", "'s", "'", ".'", "!?", "`", "~^", "12", "x_y", "ñandú", "×", "÷", "日本", "\n", "\x1c", "\x85", "\u00a0", "\u3000", "e\u0301", "ſ"]
+    texts = [t for c in latin for t in (c, f"{c}a,", f"x {c}b.", f" {c}", f"a {c}{c}'")]
+    texts += ["".join(rng.choice(parts) + rng.choice(["", "", " ", "  "]) for _ in range(rng.randint(0, 9))) for _ in range(3000)]
+    for text, found in zip(texts, whole.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(memo.encode(text), "<u2").tolist() == found.ids, text
+
+
+def test_ids_that_do_not_fit_are_refused():
+    with pytest.raises(ValueError, match="doesn't hold"):
+        token_files.MemoEncoder(JSON, "u1")
+
+
 def test_added_tokens_are_those_of_the_plain_call():
     whole, memo = Tokenizer.from_file(JSON), token_files.MemoEncoder(JSON, "<u2")
     for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y", "a <|endoftext | > b"):
