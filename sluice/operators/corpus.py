@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -188,28 +188,33 @@ def balanced(df: DataFrame, group: str, order: str, tokens: str, quota: int, edg
 
     A row is skipped while its bucket holds more than 1.5 times its share of the quota, unless all buckets
     do, or one holds 10,000 tokens and another none. Inactive for quotas under last edge * buckets. The
-    fold is sequential by definition, so a group is one task; it reads (order, tokens) only.
+    fold is sequential by definition, so a group is one task; it streams sorted (order, tokens) and holds one
+    batch and the totals, however long the group. Rows without tokens are never kept; rows without an order
+    come last, and rows of equal order by their tokens.
     """
     n = len(edges) - 1
     cap, active = quota / n * 1.5, quota >= edges[-1] * n
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        totals, used, keep = [0] * n, 0, []
-        for size in rows.sort_values(order)[tokens]:
-            size = int(size)
-            place = next((i for i in range(n) if size <= edges[i + 1]), None)
-            full = used >= quota or size <= 0 or place is None
-            if not full and active and totals[place] > cap and not (min(totals) == 0 and max(totals) >= 10_000):
-                full = not all(t > cap for t in totals)
-            keep.append(not full)
-            if not full:
-                totals[place] += size
-                used += size
-        rows = rows.sort_values(order)
-        return rows[keep]
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, totals, used = None, [], 0
+        for batch in batches:
+            keep = []
+            for g, size in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if (g,) != of:
+                    of, totals, used = (g,), [0] * n, 0
+                size = int(size or 0)
+                place = next((i for i in range(n) if size <= edges[i + 1]), None)
+                full = used >= quota or size <= 0 or place is None
+                if not full and active and totals[place] > cap and not (min(totals) == 0 and max(totals) >= 10_000):
+                    full = not all(t > cap for t in totals)
+                keep.append(not full)
+                if not full:
+                    totals[place] += size
+                    used += size
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     slim = df.select(group, order, tokens)
-    return slim.groupBy(group).applyInPandas(fold, slim.schema)
+    return slim.repartition(group).sortWithinPartitions(group, F.col(order).asc_nulls_last(), tokens).mapInArrow(fold, slim.schema)
 
 
 def bucket_profile(df: DataFrame, tokens: str, edges: Sequence[int]) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -135,22 +134,43 @@ def smoothed(df: DataFrame, group: str, step: str, value: str, beta: float = 0.9
 
 
 def early_stop(df: DataFrame, group: str, step: str, value: str, patience: int, threshold: float = float("-inf"), least: float = 1e-6) -> DataFrame:
-    """(group, stop_step, best, reason) of a sequential fold over each series."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        best, waited, stop, reason = float("inf"), 0, None, "none"
-        for s, v in zip(*(rows.sort_values(step)[c] for c in (step, value)), strict=True):
-            if v < best - least:
-                best, waited = v, 0
-            else:
-                waited += 1
-            if v <= threshold or waited >= patience:
-                stop, reason = s, "threshold" if v <= threshold else "patience"
-                break
-        return pd.DataFrame({group: [rows[group].iloc[0]], "stop_step": [stop], "best": [best], "reason": [reason]})
+    """(group, stop_step, best, reason) of a sequential fold over each series.
 
+    A series is one task, which streams its sorted rows and holds one batch. Rows without a value count as no
+    better; rows without a step come last, and rows of equal steps by their values.
+    """
     kind = dict(df.dtypes)
-    return df.select(group, step, value).groupBy(group).applyInPandas(fold, f"{group} {kind[group]}, stop_step long, best double, reason string")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, best, waited, stop, reason, done, key = None, float("inf"), 0, None, "none", [], None
+
+        def table() -> pa.RecordBatch:
+            types = (key, pa.int64(), pa.float64(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], t) for i, t in enumerate(types)], names=[group, "stop_step", "best", "reason"])
+
+        for batch in batches:
+            key, done = batch.schema.field(0).type, []
+            for g, s, v in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if (g,) != of:
+                    if of:
+                        done.append((*of, stop, best, reason))
+                    of, best, waited, stop, reason = (g,), float("inf"), 0, None, "none"
+                if reason != "none":
+                    continue
+                if v is not None and v < best - least:
+                    best, waited = v, 0
+                else:
+                    waited += 1
+                if v is not None and v <= threshold or waited >= patience:
+                    stop, reason = s, "threshold" if v is not None and v <= threshold else "patience"
+            yield table()
+        if of:
+            done = [(*of, stop, best, reason)]
+            yield table()
+
+    rows = df.select(group, F.col(step).cast("long").alias(step), F.col(value).cast("double").alias(value))
+    ordered = rows.repartition(group).sortWithinPartitions(group, F.col(step).asc_nulls_last(), value)
+    return ordered.mapInArrow(fold, f"{group} {kind[group]}, stop_step long, best double, reason string")
 
 
 def step_windows(df: DataFrame, step: str, value: str, size: int) -> DataFrame:

@@ -57,6 +57,14 @@ def test_balance_is_the_sequential_fold(spark):
     assert sorted(r.o for r in got) == want
 
 
+def test_balance_of_odd_rows(spark):
+    rows = [("s", None, 3), ("s", 2, None), ("s", 1, 0), (None, 1, 5), ("s", 4, 2), ("s", 4, 9)]
+    df = spark.createDataFrame(rows, "g string, o int, n long").repartition(5)
+    got = corpus.balanced(df, "g", "o", "n", 10, [1, 256, 512]).collect()
+    assert sorted(((r.g or "", r.o or 99, r.n) for r in got)) == [("", 1, 5), ("s", 4, 2), ("s", 4, 9)]
+    assert corpus.balanced(df.where("false"), "g", "o", "n", 10, [1, 256]).collect() == []
+
+
 def test_buckets_are_closed_on_the_right(spark):
     rows = spark.createDataFrame([(n,) for n in (0, 1, 256, 257, 2048, 2049)], "n int").select("n", x.bucket_of(F.col("n"), [1, 256, 512, 1024, 2048]).alias("b"))
     assert {r.n: r.b for r in rows.collect()} == {0: 0, 1: 0, 256: 0, 257: 1, 2048: 3, 2049: None}
