@@ -9,8 +9,9 @@
    key, so a dense region spreads over tasks like any other rows.
 3. Regions over all trees are merged into candidate groups, and links are confirmed on full sets within
    each group. A group of more than BLOCK rows is confirmed block by block together with its leaders (the
-   rows whose signatures agree most with the group); rows that stay outside the group's largest cluster
-   are then held against every block, so that no link inside a group is lost.
+   rows whose signatures agree most with the group). Rows that stay outside the group's largest cluster
+   then meet all rows of the group that share one of their rarest shingles, as linked rows must (a prefix
+   filter, which loses nothing); where that is much of the group, they meet every block of it instead.
 4. Confirmed links give the components.
 
 Defined cases: a text that is null or without words has an empty set and links with nothing; a text with
@@ -36,6 +37,10 @@ from sluice.llm.components import components
 TREES, DEPTH, LEAST_DEPTH, LARGE = 16, 8, 3, 64
 #: Rows of a group that one task confirms, leaders of a larger group.
 BLOCK, LEADERS = 512, 16
+#: Rows and shingles of a group whose sets are compared as a matrix, columns of it at once.
+MATRIX_ROWS, MATRIX_SHINGLES, MATRIX_COLUMNS = 32, 2_000_000, 8192
+#: Bits of the counters that order shingles by frequency; equal counters cost time, not links.
+COUNTER_BITS = 20
 #: Candidates up to this count are sent to every executor instead of shuffling all texts.
 BROADCAST_ROWS = 1_000_000
 
@@ -168,13 +173,44 @@ def _linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     small, large = (a, b) if len(a) < len(b) else (b, a)
     at = np.searchsorted(large, small)
     both = int(np.count_nonzero(large[np.minimum(at, len(large) - 1)] == small))
-    return den * both >= num * (len(a) + len(b) - both)
+    return both > 0 and den * both >= num * (len(a) + len(b) - both)
+
+
+def _alike(some: list[np.ndarray], others: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Which of `some` sets are alike enough to which of `others`, all at once."""
+    lengths = np.array([len(x) for x in (*some, *others)])
+    _, column, counts = np.unique(np.concatenate([*some, *others]), return_inverse=True, return_counts=True)
+    row, column = np.repeat(np.arange(len(lengths)), lengths)[counts[column] > 1], (np.cumsum(counts > 1) - 1)[column[counts[column] > 1]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(some), len(others)), np.int64)
+    for low in range(0, column[-1] + 1 if len(column) else 0, MATRIX_COLUMNS):
+        a, b = np.searchsorted(column, [low, low + MATRIX_COLUMNS])
+        cells = np.zeros((len(lengths), min(MATRIX_COLUMNS, column[-1] + 1 - low)), np.float32)
+        cells[row[a:b], column[a:b] - low] = 1
+        both += (cells[: len(some)] @ cells[len(some) :].T).astype(np.int64)
+    return (both > 0) & (den * both >= num * (lengths[: len(some), None] + lengths[len(some) :] - both))
 
 
 def _confirm(n: int, num: int, den: int, keys: int):
     """Rows sorted by group: links that span each group's clusters, as (node, cluster's first node)."""
 
+    def spanning(group: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, int]]:
+        sets = [own for _, own in group]
+        alike = _alike(sets, sets, num, den)
+        left = np.ones(len(group), bool)
+        for first in range(len(group)):
+            ahead = np.array([first] if left[first] else [], int)
+            left[ahead] = False
+            while len(ahead):
+                ahead = np.flatnonzero(alike[ahead].any(axis=0) & left)
+                left[ahead] = False
+                yield from ((group[i][0], group[first][0]) for i in ahead if group[i][0] != group[first][0])
+
     def links(group: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, int]]:
+        if MATRIX_ROWS < len(group) <= 4 * BLOCK and sum(len(own) for _, own in group) <= MATRIX_SHINGLES:
+            yield from spanning(group)
+            return
         clusters: list[list[tuple[int, np.ndarray]]] = []
         for node, own in group:
             mine = [(node, own)]
@@ -223,10 +259,80 @@ def confirmed_edges(groups: DataFrame, texts: DataFrame, n: int, num: int, den:
     large = texts.where(F.col("size") > BLOCK).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     if large.isEmpty():
         return found
-    return found.unionByName(_confirm_large(large, n, confirm))
+    return found.unionByName(_confirm_large(large, n, num, den, confirm))
+
+
+def _cross(n: int, num: int, den: int, keys: int):
+    """Rows sorted by group and whether they ask: links of those that ask to the clusters of the others."""
+
+    def links(asking: list, others: list) -> Iterator[tuple[int, int]]:
+        sets, theirs = ([own for *_, own in rows] for rows in (asking, others))
+        if asking and others and MATRIX_ROWS**2 < len(asking) * len(others) and len(asking) + len(others) <= 4 * BLOCK and sum(map(len, sets)) + sum(map(len, theirs)) <= MATRIX_SHINGLES:
+            for (node, cluster, _), found in zip(asking, _alike(sets, theirs, num, den), strict=True):
+                yield from ((node, c) for c in {others[i][1] for i in np.flatnonzero(found)} if c != cluster)
+            return
+        for node, cluster, own in asking:
+            met = {cluster}
+            for _, c, set_ in others:
+                if c not in met and _linked(own, set_, num, den):
+                    met.add(c)
+                    yield node, c
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, key = ([], []), None
+        for batch in batches:
+            out = []
+            fields = [batch.column(i).to_pylist() for i in range(keys + 3)]
+            for *here, other, node, cluster, text in zip(*fields, batch.column(keys + 3), strict=True):
+                if here != key:
+                    out += links(*groups)
+                    groups, key = ([], []), here
+                groups[other].append((node, cluster, shingles(text.as_py(), n)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        out = list(links(*groups))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def _counter(found: np.ndarray) -> np.ndarray:
+    return (found >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
 
-def _confirm_large(large: DataFrame, n: int, confirm) -> DataFrame:
+def _count(n: int):
+    """Texts: how many sets have a shingle of each counter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNTER_BITS, np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                np.add.at(total, _counter(shingles(text.as_py(), n)), 1)
+        some = np.flatnonzero(total)
+        for at in range(0, len(some), 1 << 16):
+            part = some[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], names=["counter", "n"])
+
+    return run
+
+
+def _rarest(n: int, num: int, den: int, counts):
+    """component, node, text: the rarest shingles of each set, so many that two linked sets share one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for text in batch.column(2):
+                found = shingles(text.as_py(), n)
+                order = np.lexsort((found, counts.value[_counter(found)]))
+                parts.append(found[order[: len(found) + num * len(found) // -den + 1]].view(np.int64))
+            rows = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(np.concatenate(parts))], names=["component", "node", "shingle"])
+
+    return run
+
+
+def _confirm_large(large: DataFrame, n: int, num: int, den: int, confirm) -> DataFrame:
     """Links within groups of more than BLOCK rows."""
     signed = materialise(large.select("node", F.col("text")).mapInArrow(released(_sign(n)), _SIGNED).select(F.col("doc_id").alias("node"), "signature"), "signed")
     values = large.select("component", "node").join(signed, "node").select("component", "node", F.posexplode(F.array(*(F.substring("signature", 4 * DEPTH * t + 1, 4) for t in range(TREES)))).alias("tree", "value"))
@@ -247,14 +353,42 @@ def _confirm_large(large: DataFrame, n: int, confirm) -> DataFrame:
     outside = materialise(cluster.join(main, "component").where("cluster != main").select("component", "node"), "outside")
     if outside.isEmpty():
         return first
-    # each chunk of rows outside the largest cluster meets each block of its group
-    chunks = outside.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks"))
-    chunk = F.pmod(F.xxhash64("node", F.lit(11)), F.col("chunks")).cast("int")
-    asked = large.join(outside, ["component", "node"], "left_semi").join(chunks, "component").withColumn("chunk", chunk).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    against = own.join(chunks, "component").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    columns = ["component", "block", "chunk", "node", "text"]
-    both = asked.select(columns).unionByName(against.select(columns)).dropDuplicates(["component", "block", "chunk", "node"])
-    return first.unionByName(materialise(confirm(both, ["component", "block", "chunk"]), "links"))
+    asking = large.join(outside.select("component").distinct(), "component", "left_semi")
+    rows = materialise(asking.join(cluster.select("component", "node", "cluster").distinct(), ["component", "node"]).select("component", "blocks", "node", "cluster", "text"), "clustered")
+
+    def cross(found: DataFrame, keys: list[str]) -> DataFrame:
+        sorted_rows = found.repartition(*keys).sortWithinPartitions(*keys, "other", "node").select(*keys, "other", "node", "cluster", "text")
+        return materialise(sorted_rows.mapInArrow(released(_cross(n, num, den, len(keys))), "a long, b long"), "links")
+
+    # what shares one of the rarest shingles with a row outside
+    counted = rows.select("text").mapInArrow(released(_count(n)), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << COUNTER_BITS, np.int64)
+    counts[counted["counter"].to_numpy()] = counted["n"].to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(counts)
+    rarest = materialise(rows.select("component", "node", "text").mapInArrow(released(_rarest(n, num, den, shared)), "component long, node long, shingle long"), "rarest")
+    sizes = rarest.groupBy("component", "shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    own_sizes = materialise(rarest.join(outside, ["component", "node"], "left_semi").join(sizes, ["component", "shingle"]), "shared")
+    most = F.lit(LARGE) + 2 * F.col("blocks")  # a chunk and a block bring about two texts of each block to a row
+    met = own_sizes.groupBy("component", "node").agg(F.sum("n").alias("met")).join(rows.select("component", "node", "blocks").distinct(), ["component", "node"])
+    met = materialise(met.select("component", "node", (F.col("met") > most).alias("dense")), "met")
+
+    few = own_sizes.join(met.where(~F.col("dense")), ["component", "node"]).select("component", "shingle", F.col("node").alias("asker"))
+    pairs = few.join(rarest, ["component", "shingle"]).where("node != asker").select("component", "asker", "node").distinct()
+    pairs = materialise(pairs, "pairs")
+    texts = rows.select("component", "node", "cluster", "text")
+    both = pairs.select("component", "asker", "node", F.lit(1).alias("other")).unionByName(pairs.select("component", "asker", F.col("asker").alias("node"), F.lit(0).alias("other")).distinct())
+    found = first.unionByName(cross(both.join(texts, ["component", "node"]), ["component", "asker"]))
+
+    # each chunk of the rest of them meets each block of its group
+    dense = met.where("dense").select("component", "node")
+    if dense.isEmpty():
+        return found
+    chunks = materialise(dense.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks")), "chunks")
+    dealt = rows.join(chunks, "component")
+    ask = dealt.join(dense, ["component", "node"], "left_semi").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(11)), F.col("chunks")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("other", F.lit(0))
+    against = dealt.withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("other", F.lit(1))
+    columns = ["component", "block", "chunk", "other", "node", "cluster", "text"]
+    return found.unionByName(cross(ask.select(columns).unionByName(against.select(columns)), ["component", "block", "chunk"]))
 
 
 def near_duplicates(documents: DataFrame, n: int = 3, num: int = 85, den: int = 100) -> DataFrame:

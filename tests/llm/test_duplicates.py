@@ -5,6 +5,7 @@ import random
 import re
 import struct
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -338,3 +339,38 @@ def test_frequent_units_and_others_give_the_same_passages(spark, monkeypatch):
         results.append(sorted(map(tuple, line_dedup.repeated_passages(docs).collect())))
     assert results[0] == results[1] == results[2]
     assert {r[0] for r in results[0]} == set(range(1, 24))
+
+
+def test_sets_alike_at_once_are_those_alike_one_by_one(monkeypatch):
+    monkeypatch.setattr(minhash_forest, "MATRIX_COLUMNS", 7)
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(0, 45))).astype(np.uint64) for _ in range(60)]
+    got = minhash_forest._alike(sets[:25], sets[20:], 60, 100)
+    assert got.tolist() == [[minhash_forest._linked(a, b, 60, 100) for b in sets[20:]] for a in sets[:25]]
+    assert not got[:, [len(x) == 0 for x in sets[20:]]].any() and got.any()
+
+
+def test_a_chained_group_of_unlike_texts_meets_few_candidates(spark, monkeypatch):
+    rng = random.Random(43)
+    words = lambda tag, n: " ".join(f"{tag}{rng.randrange(9000)}" for _ in range(n))
+    stock = [words("s", 20) for _ in range(6)]
+    texts = [f"{rng.choice(stock)} {rng.choice(stock)} {words('u', 12)}" for _ in range(900)]
+    texts += [edited(rng, texts[7 * i].split(), 1) for i in range(60)]
+    rows = list(enumerate(texts))
+    compared = spark.sparkContext.accumulator(0)
+    cross = minhash_forest._cross
+
+    def counted(*args):
+        run = cross(*args)
+
+        def wrapped(batches):
+            for batch in batches:
+                compared.add(batch.num_rows)
+                yield from run(iter([batch]))
+
+        return wrapped
+
+    monkeypatch.setattr(minhash_forest, "_cross", counted)
+    got = [tuple(r) for r in minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted(brute_components(rows, 3, 85, 100))
+    assert 0 < compared.value < len(rows)
