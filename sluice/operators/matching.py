@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +17,8 @@ from sluice.functions.expressions import dot, unit
 KEPT_BYTES = 128 << 20
 #: Similarities that a block holds at once.
 BLOCK_CELLS = 4_000_000
+#: Dropped and kept experts of a tile, and similarities of it that a task holds at once.
+TILE_ROWS, TILE_COLUMNS, TILE_CELLS = 2048, 8192, 1 << 20
 
 
 def similarities(dropped: DataFrame, kept: DataFrame, vector: str = "vec", eps: float = 1e-12) -> DataFrame:
@@ -28,6 +34,100 @@ def softmax_weights(sims: DataFrame, tau: float = 0.1) -> DataFrame:
     return sims.withColumn("_e", raised).withColumn("w", F.col("_e") / F.sum("_e").over(row)).drop("_e")
 
 
+def _tiles(dropped: DataFrame, kept: DataFrame, rows: int, run: Callable[[pa.Table, pa.Table], dict], schema: str) -> DataFrame:
+    """run(left, right) over tiles of each layer: about `rows` dropped and TILE_COLUMNS kept experts, every pair of them in one tile.
+
+    dropped and kept hold (layer, expert, vec) and more; vec is null in the tile where it or an element of it is.
+    """
+    sizes = dropped.groupBy("layer").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_rows")).join(kept.groupBy("layer").agg(F.ceil(F.count(F.lit(1)) / TILE_COLUMNS).cast("int").alias("_columns")), "layer")
+    sizes = F.broadcast(sizes)  # a row a layer
+    place = lambda n: F.pmod(F.xxhash64("expert"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    known = F.when(F.forall("vec", lambda x: x.isNotNull()), F.col("vec").cast("array<double>"))
+    d = dropped.withColumn("vec", known).join(sizes, "layer").withColumn("_row", place("_rows")).withColumn("_column", every("_columns"))
+    k = kept.withColumn("vec", known).join(sizes, "layer").withColumn("_column", place("_columns")).withColumn("_row", every("_rows"))
+    keys = ["layer", "_row", "_column"]
+    types = dict(part.rsplit(" ", 1) for part in (f"layer {dict(dropped.dtypes)['layer']}, " + schema).split(", "))
+
+    def tile(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = run(left, right) if left.num_rows and right.num_rows else {}
+        if not found:
+            return pa.table({name: [] for name in types})
+        n = len(next(iter(found.values())))
+        layer = left["layer"].slice(0, 1).combine_chunks()
+        return pa.table({"layer": layer.take(pa.array(np.zeros(n, np.int64))), **found})
+
+    d, k = (side.drop("_rows", "_columns") for side in (d, k))
+    d, k = d.toDF(*d.columns), k.toDF(*k.columns)  # both may come from one table, whose columns would be ambiguous
+    return d.groupBy(*keys).cogroup(k.groupBy(*keys)).applyInArrow(tile, ", ".join(f"{a} {b}" for a, b in types.items()))
+
+
+def _vectors(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Places and matrix of the vectors of each width; those that are null have none."""
+    vectors = table["vec"].combine_chunks()
+    widths = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+    places = {int(w): np.flatnonzero(widths == w) for w in np.unique(widths) if w >= 0}
+    return {w: (at, pc.list_flatten(vectors.take(pa.array(at))).to_numpy(zero_copy_only=False).reshape(len(at), w)) for w, at in places.items()}
+
+
+def _cosines(left: pa.Table, right: pa.Table, eps: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(places left, their vectors, places right, similarities), block by block; vectors of unlike widths have none."""
+    units = lambda m: m / np.maximum(np.sqrt((m * m).sum(axis=1)), eps)[:, None]
+    others = {w: (at, units(m)) for w, (at, m) in _vectors(right).items()}
+    for w, (at, m) in _vectors(left).items():
+        if w in others:
+            to, v = others[w]
+            step = max(1, TILE_CELLS // len(to))
+            for i in range(0, len(at), step):
+                yield at[i : i + step], m[i : i + step], to, units(m[i : i + step]) @ v.T
+
+
+def _with_tops(dropped: DataFrame, kept: DataFrame, tau: float, eps: float) -> DataFrame:
+    """Add `top` and `z`: the greatest similarity of each dropped expert in its layer, and the sum under its softmax."""
+
+    def tops(left, right):
+        out = [(at, s.max(axis=1), np.exp((s - s.max(axis=1)[:, None]) / tau).sum(axis=1)) for at, _, _, s in _cosines(left, right, eps)]
+        if not out:
+            return {}
+        at, top, z = map(np.concatenate, zip(*out, strict=True))
+        return {"expert": left["expert"].combine_chunks().take(pa.array(at)), "top": top, "z": z}
+
+    parts = _tiles(dropped, kept, TILE_ROWS, tops, f"expert {dict(dropped.dtypes)['expert']}, top double, z double")
+    both = parts.groupBy("layer", "expert").agg(F.max("top").alias("top"), F.collect_list(F.struct("top", "z")).alias("_parts"))
+    z = F.aggregate("_parts", F.lit(0.0), lambda a, p: a + p["z"] * F.exp((p["top"] - F.col("top")) / tau))
+    return dropped.join(both.select("layer", "expert", "top", z.alias("z")), ["layer", "expert"], "left")
+
+
+def cosine_weighted_sums(kept: DataFrame, dropped: DataFrame, tau: float, alpha: float, eps: float = 1e-12) -> DataFrame:
+    """(layer, kept, i, value): weighted_sums under the softmax_weights of the similarities, whose pairs never become rows.
+
+    kept and dropped hold (layer, expert, vec), a row an expert. Similarities are made by tiles of a matrix product, once
+    for the greatest and the sum of each dropped expert, once for its share in each kept one.
+    """
+    tau = max(tau, 1e-6)
+
+    def shares(left, right):
+        top, z = (left[c].to_numpy() for c in ("top", "z"))
+        sums = {}
+        for at, m, to, s in _cosines(left, right, eps):
+            found = (np.exp((s - top[at, None]) / tau) / z[at, None]).T @ m
+            sums[m.shape[1]] = (to, found if m.shape[1] not in sums else sums[m.shape[1]][1] + found)
+        if not sums:
+            return {}
+        at = np.concatenate([to for to, _ in sums.values()])
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.full(len(to), w) for w, (to, _) in sums.items()]))]).astype(np.int32)
+        y = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([found.ravel() for _, found in sums.values()])))
+        return {"expert": right["expert"].combine_chunks().take(pa.array(at)), "part": left["_row"].combine_chunks().take(pa.array(np.zeros(len(at), np.int64))), "y": y}
+
+    slim = lambda d: d.select("layer", "expert", "vec")
+    rated = _with_tops(slim(dropped), slim(kept), tau, eps)
+    parts = _tiles(rated, slim(kept), TILE_ROWS, shares, f"expert {dict(kept.dtypes)['expert']}, part int, y array<double>")
+    whole = parts.groupBy("layer", "expert").agg(F.sort_array(F.collect_list(F.struct("part", "y"))).alias("_y"))
+    added = whole.select("layer", "expert", F.aggregate(F.slice("_y", 2, 1 << 30), F.col("_y")[0]["y"], lambda a, p: F.zip_with(a, p["y"], lambda x, y: x + y)).alias("_y"))
+    value = F.transform("vec", lambda x, i: x.cast("double") + alpha * F.coalesce(F.get("_y", i), F.lit(0.0)))
+    return slim(kept).join(added, ["layer", "expert"], "left").select("layer", F.col("expert").alias("kept"), F.posexplode(value).alias("i", "value"))
+
+
 def cooccurrence_weights(pairs: DataFrame) -> DataFrame:
     """Add `w`: each (layer, dropped, kept, cnt) over its row's sum; rows of zeros become uniform."""
     row = Window.partitionBy("layer", "dropped")

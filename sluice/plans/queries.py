@@ -539,9 +539,7 @@ def merge_block_match(spark, sf_dir):
     WHERE k.expert % 2 = 0 GROUP BY k.layer, k.expert, k.i, k.y""")
 def merge_weighted_sum(spark, sf_dir):
     dropped, kept = experts(spark, sf_dir)
-    weights = matching.softmax_weights(matching.similarities(dropped, kept), 0.1)
-    flat = lambda d: d.select("layer", "expert", F.posexplode("vec").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
-    return matching.weighted_sums(flat(kept), flat(dropped), weights, 0.5).withColumn("value", F.round("value", 6))
+    return matching.cosine_weighted_sums(kept, dropped, 0.1, 0.5).withColumn("value", F.round("value", 6))
 
 
 KEYS = """SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'model.language_model.embed_tokens.weight' WHEN 1 THEN 'lm_head.weight' WHEN 2 THEN 'model.layers.' || p_size || '.mlp.gate.weight' WHEN 3 THEN 'model.layers.' || p_size || '.mlp.experts.' || (p_partkey % 16) || '.up_proj.weight'

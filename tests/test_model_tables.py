@@ -281,3 +281,26 @@ def test_smoothed_is_a_sequential_loop(spark, joined):
     df = spark.createDataFrame(odd, "g string, s long, v double").repartition(7)
     same({(r.g, r.step): r.ema for r in metrics.smoothed(df, "g", "s", "v").collect()}, loop(odd))
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.fixture
+def odd_experts(spark, monkeypatch):
+    """Two layers over several tiles, with vectors that are null, of zeros, of another width or hold a null; a layer with one side only."""
+    for name, size in (("TILE_ROWS", 7), ("TILE_COLUMNS", 5)):
+        monkeypatch.setattr(matching, name, size)
+    rng = np.random.default_rng(11)
+    rows = [(i % 2 if i < 80 else None, i // 2, i % 4 < 2, rng.normal(size=6).tolist()) for i in range(90)]
+    rows += [(0, 100 + i, i % 2 == 0, v) for i, v in enumerate([None, None, [0.0] * 6, [0.0] * 6, [1.0, 2.0], [2.0, 1.0], [1.0] * 5 + [None], [None] + [1.0] * 5])]
+    rows += [(7, 200, True, [1.0] * 6), (8, 201, False, [1.0] * 6)]
+    df = spark.createDataFrame(rows, "layer int, expert long, kept boolean, vec array<float>")
+    return df.where("not kept").drop("kept"), df.where("kept").drop("kept")
+
+
+def test_cosine_weighted_sums_are_those_of_the_pairs(spark, odd_experts):
+    dropped, kept = odd_experts
+    flat = lambda d: d.select("layer", "expert", F.posexplode("vec").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
+    weights = matching.softmax_weights(matching.similarities(dropped, kept), 0.1)
+    result = lambda df: {(r.layer, r.kept, r.i): r.value for r in df.collect()}
+    want, got = result(matching.weighted_sums(flat(kept), flat(dropped), weights, 0.5)), result(matching.cosine_weighted_sums(kept, dropped, 0.1, 0.5))
+    assert got.keys() == want.keys() and {k[0] for k in got} == {0, 1, 7, None}
+    assert all((got[k] is None) == (want[k] is None) and (want[k] is None or math.isclose(got[k], want[k], abs_tol=1e-9)) for k in want)
