@@ -19,6 +19,8 @@ KEPT_BYTES = 128 << 20
 BLOCK_CELLS = 4_000_000
 #: Dropped and kept experts of a tile, and similarities of it that a task holds at once.
 TILE_ROWS, TILE_COLUMNS, TILE_CELLS = 2048, 8192, 1 << 20
+#: Dropped experts of a tile whose weights are given back one by one.
+PLAN_ROWS = 128
 
 
 def similarities(dropped: DataFrame, kept: DataFrame, vector: str = "vec", eps: float = 1e-12) -> DataFrame:
@@ -306,6 +308,38 @@ def merge_plan(weights: DataFrame, alpha: float) -> DataFrame:
     return rows.select("layer", F.to_json(F.struct(F.lit(alpha).alias("alpha"), "dropped", "surviving", "weights")).alias("json"))
 
 
+def merge_plan_heads(dropped: DataFrame, kept: DataFrame, alpha: float) -> DataFrame:
+    """(layer, json): a layer's dropped and surviving experts; merge_plan_weights has the rest of a plan whose pairs are too many for one text."""
+    ids = lambda d, as_: d.groupBy("layer").agg(F.sort_array(F.collect_set("expert")).alias(as_))
+    return ids(dropped, "dropped").join(ids(kept, "surviving"), "layer").select("layer", F.to_json(F.struct(F.lit(alpha).alias("alpha"), "dropped", "surviving")).alias("json"))
+
+
+def merge_plan_weights(dropped: DataFrame, kept: DataFrame, tau: float, eps: float = 1e-12) -> DataFrame:
+    """(layer, dropped, json): the softmax_weights of each dropped expert, as the lists `kept` and `w`.
+
+    An expert has a row for every TILE_COLUMNS kept ones or so; a weight is null if its vectors can't be compared.
+    """
+    tau = max(tau, 1e-6)
+
+    def weights(left, right):
+        right = right.sort_by("expert")
+        n, m = left.num_rows, right.num_rows
+        w, known = np.zeros((n, m)), np.zeros((n, m), bool)
+        top, z = (left[c].to_numpy() for c in ("top", "z"))
+        for at, _, to, s in _cosines(left, right, eps):
+            w[np.ix_(at, to)] = np.exp((s - top[at, None]) / tau) / z[at, None]
+            known[np.ix_(at, to)] = True
+        texts = pa.array(w.ravel(), mask=None if known.all() else ~known.ravel(), from_pandas=False).cast(pa.string())
+        if not np.isfinite(w).all():
+            texts = pc.if_else(pa.array(np.isnan(w.ravel())), '"NaN"', texts)
+        lists = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.arange(0, n * m + 1, m, dtype=np.int32)), pc.fill_null(texts, "null")), ",")
+        expert, ids = left["expert"].combine_chunks(), ",".join(map(str, right["expert"].to_pylist()))
+        return {"dropped": expert, "json": pc.binary_join_element_wise('{"dropped":', expert.cast(pa.string()), f',"kept":[{ids}],"w":[', lists, "]}", "")}
+
+    slim = lambda d: d.select("layer", "expert", "vec")
+    return _tiles(_with_tops(slim(dropped), slim(kept), tau, eps), slim(kept), PLAN_ROWS, weights, f"dropped {dict(dropped.dtypes)['expert']}, json string")
+
+
 def complement(every: DataFrame, surviving: DataFrame) -> DataFrame:
     """(layer, expert): the experts of `every` that don't survive."""
     return every.select("layer", "expert").distinct().join(surviving.select("layer", "expert"), ["layer", "expert"], "left_anti")

@@ -172,9 +172,11 @@ def router_complement(spark, sf_dir):
 
 @query(SIMS + "SELECT layer, '[' || string_agg(DISTINCT dropped, ',' ORDER BY dropped) || ']' AS dropped, '[' || string_agg(DISTINCT kept, ',' ORDER BY kept) || ']' AS surviving, CAST(count(*) AS BIGINT) AS pairs FROM s GROUP BY layer")
 def merge_plan_json(spark, sf_dir):
-    plan = matching.merge_plan(matching.softmax_weights(matching.similarities(*experts(spark, sf_dir)), 0.1), 0.5)
-    part = lambda name: F.get_json_object("json", f"$.{name}")
-    return plan.select("layer", part("dropped").alias("dropped"), part("surviving").alias("surviving"), F.size(F.from_json(part("weights"), "array<struct<w:double>>")).cast("long").alias("pairs"))
+    dropped, kept = experts(spark, sf_dir)
+    part = lambda name: F.get_json_object("json", f"$.{name}").alias(name)
+    heads = matching.merge_plan_heads(dropped, kept, 0.5).select("layer", part("dropped"), part("surviving"))
+    pairs = F.sum(F.size(F.from_json("json", "kept array<long>")["kept"])).cast("long").alias("pairs")
+    return heads.join(matching.merge_plan_weights(dropped, kept, 0.1).groupBy("layer").agg(pairs), "layer")
 
 
 @query(MATCHES + """, g AS (SELECT layer, count(*) AS total, count(*) FILTER (hosted) AS hosted, max(guests) AS most FROM (SELECT *, count(*) FILTER (hosted) OVER (PARTITION BY layer, host, host_neuron) AS guests FROM b) GROUP BY layer)

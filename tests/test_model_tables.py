@@ -286,7 +286,7 @@ def test_smoothed_is_a_sequential_loop(spark, joined):
 @pytest.fixture
 def odd_experts(spark, monkeypatch):
     """Two layers over several tiles, with vectors that are null, of zeros, of another width or hold a null; a layer with one side only."""
-    for name, size in (("TILE_ROWS", 7), ("TILE_COLUMNS", 5)):
+    for name, size in (("TILE_ROWS", 7), ("TILE_COLUMNS", 5), ("PLAN_ROWS", 3)):
         monkeypatch.setattr(matching, name, size)
     rng = np.random.default_rng(11)
     rows = [(i % 2 if i < 80 else None, i // 2, i % 4 < 2, rng.normal(size=6).tolist()) for i in range(90)]
@@ -304,3 +304,19 @@ def test_cosine_weighted_sums_are_those_of_the_pairs(spark, odd_experts):
     want, got = result(matching.weighted_sums(flat(kept), flat(dropped), weights, 0.5)), result(matching.cosine_weighted_sums(kept, dropped, 0.1, 0.5))
     assert got.keys() == want.keys() and {k[0] for k in got} == {0, 1, 7, None}
     assert all((got[k] is None) == (want[k] is None) and (want[k] is None or math.isclose(got[k], want[k], abs_tol=1e-9)) for k in want)
+
+
+def test_parts_of_a_merge_plan_are_the_whole_plan(spark, odd_experts):
+    dropped, kept = odd_experts
+    dropped, kept = (d.unionByName(spark.createDataFrame([(9, i, [v] * 6)], d.schema)) for d, i, v in ((dropped, 300, math.nan), (kept, 301, 1.0)))
+    weights = matching.softmax_weights(matching.similarities(dropped, kept), 0.1)
+    whole = {r.layer: json.loads(r.json) for r in matching.merge_plan(weights, 0.5).collect()}
+    heads = {r.layer: json.loads(r.json) for r in matching.merge_plan_heads(dropped, kept, 0.5).collect()}
+    assert heads == {k: {c: v[c] for c in ("alpha", "dropped", "surviving")} for k, v in whole.items()}
+    parts = [(r.layer, r.dropped, json.loads(r.json)) for r in matching.merge_plan_weights(dropped, kept, 0.1).collect()]
+    got = [(layer, d, *pair) for layer, d, p in parts for pair in zip(p["kept"], p["w"], strict=True)]
+    want = {(layer, w["dropped"], w["kept"]): w.get("w") for layer, plan in whole.items() for w in plan["weights"]}
+    assert len(got) == len(want) and {g[:3] for g in got} == want.keys()
+    assert all((w is None) == (want[tuple(k)] is None) and (w is None or w == want[tuple(k)] or math.isclose(w, want[tuple(k)], abs_tol=1e-9)) for *k, w in got)
+    assert ("NaN", 301) in [(w, k) for *_, k, w in got]
+    assert max(len(p["kept"]) for *_, p in parts) < 25  # a tile's kept experts, not all pairs
